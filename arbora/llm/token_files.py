@@ -130,7 +130,7 @@ class Encoder:
         return out
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and their rows
         self.size, self.used = np.zeros(1 << 16, np.int64), 0
         self.at = np.zeros(1 << 16, np.int64)
         self.flat, self.filled = np.zeros(1 << 18, np.uint32), 0
@@ -194,27 +194,30 @@ class Encoder:
 
     def _rows(self, keys: np.ndarray, inverse: np.ndarray, start: np.ndarray, joined: str) -> np.ndarray:
         """Row of each distinct pre-token in the table of known ones."""
-        if len(self.known) + len(keys) > self.KEEP:
+        if len(self.keys) + len(keys) > self.KEEP:
             self._forget()
-        listed, known = keys.tolist(), self.known
-        new = [k for k, key in enumerate(listed) if key not in known]
-        if new:
+        at = np.searchsorted(self.keys, keys)
+        new = np.ones(len(keys), bool)
+        if len(self.keys):
+            new = self.keys[np.minimum(at, len(self.keys) - 1)] != keys
+        if new.any():
             where = np.zeros(len(keys), np.int64)
             where[inverse] = np.arange(len(inverse))
             end = np.append(start[1:], len(joined))
-            at = where[new]
-            ids = self.whole([joined[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            places = where[new]
+            ids = self.whole([joined[a:b] for a, b in zip(start[places].tolist(), end[places].tolist(), strict=True)])
             flat, n = np.concatenate(ids), np.array([len(x) for x in ids], np.int64)
-            while self.used + len(new) > len(self.size):
+            to = self.used + len(n)
+            while to > len(self.size):
                 self.size, self.at = np.resize(self.size, 2 * len(self.size)), np.resize(self.at, 2 * len(self.at))
             while self.filled + len(flat) > len(self.flat):
                 self.flat = np.resize(self.flat, 2 * len(self.flat))
-            to = self.used + len(new)
             self.size[self.used : to], self.at[self.used : to] = n, self.filled + np.cumsum(n) - n
             self.flat[self.filled : self.filled + len(flat)] = flat
-            known.update(zip((listed[k] for k in new), range(self.used, to), strict=True))
+            self.keys, self.row = np.insert(self.keys, at[new], keys[new]), np.insert(self.row, at[new], np.arange(self.used, to))
             self.used, self.filled = to, self.filled + len(flat)
-        return np.fromiter(map(known.__getitem__, listed), np.int64, len(listed))
+            at = np.searchsorted(self.keys, keys)
+        return self.row[at]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -227,7 +230,7 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def groups(texts: list[str], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def groups(texts: list[str], limit: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of texts of about ``limit`` characters."""
     first, size = 0, 0
     for k, text in enumerate(texts):
