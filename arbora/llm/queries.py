@@ -34,9 +34,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = sentence_pieces.decode(sentence_pieces.encode(docs.select("doc_id", "text", F.col("text").alias("__text")), text_col="__text").drop("__text"))
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), F.sha2("decoded", 256).alias("decoded_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+    both = sentence_pieces.decode(sentence_pieces.encode(docs).drop("text"))
+    decoded = F.sha2("decoded", 256)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,9 +158,13 @@ def _units(resolve: Callable[[], Pieces]) -> Callable[[Iterable[pa.RecordBatch]]
             texts = batch.column(0).to_pylist()
             for a, b in groups(texts):
                 joined, start, hashes, _ = cut(texts[a:b], pieces)
-                keys, first = np.unique(hashes, return_index=True)
-                new = ~np.isin(keys, seen)
-                seen = np.concatenate([seen, keys[new]]) if len(seen) < CHUNK else keys
+                keys, inverse = np.unique(hashes, return_inverse=True)
+                first = np.zeros(len(keys), np.int64)
+                first[inverse] = np.arange(len(inverse))
+                seen = seen if len(seen) < CHUNK else np.zeros(0, np.uint64)
+                place = np.searchsorted(seen, keys)
+                new = seen[np.minimum(place, len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), bool)
+                seen = np.insert(seen, place[new], keys[new])
                 end = np.append(start[1:], len(joined))
                 at = first[new]
                 yield pa.RecordBatch.from_pydict({"unit": pa.array([joined[x:y] for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.string())})
@@ -178,18 +182,23 @@ def _long(resolve: Callable[[], Pieces]) -> Callable[[Iterable[pa.RecordBatch]],
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    return spark.createDataFrame(pa.Table.from_pydict({"piece": [p for p, _, _ in pieces.rows], "score": [s for _, s, _ in pieces.rows], "id": pa.array([i for _, _, i in pieces.rows], pa.int32())}))
+    """(piece, score, id, rank): rank is the piece's place by falling score."""
+    rows = sorted(pieces.rows, key=lambda r: (-r[1], r[2]))
+    return spark.createDataFrame(pa.Table.from_pydict({"piece": [p for p, _, _ in rows], "score": [s for _, s, _ in rows], "id": pa.array([i for _, _, i in rows], pa.int32()), "rank": pa.array(range(len(rows)), pa.int64())}))
 
 
-def lattice(units: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, edges): the pieces that are substrings of each unit, as (loss, s, e, id); single characters always.
+def _spans(pieces: Pieces) -> F.Column:
+    return F.expr(f"flatten(transform(sequence(1, n), i -> transform(sequence(1, least({pieces.longest}, n - i + 1)), l -> struct(i - 1 as s, i - 1 + l as e, substring(unit, i, l) as sub))))")
 
-    ``units`` must be partitioned by unit: then no row moves. The piece table is as large as the model's vocabulary.
+
+def _edges(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """The pieces among each unit's substrings; single characters always, with null if they are no piece.
+
+    ``units`` must be partitioned by unit: then no row moves when its edges are grouped. The piece table is as large as
+    the model's vocabulary.
     """
-    spans = F.expr(f"flatten(transform(sequence(1, n), i -> transform(sequence(1, least({pieces.longest}, n - i + 1)), l -> struct(i - 1 as s, i - 1 + l as e, substring(unit, i, l) as sub))))")
-    subs = units.withColumn("n", F.char_length("unit")).select("unit", F.inline(spans))
-    found = subs.join(F.broadcast(piece_table(units.sparkSession, pieces)), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")
-    return found.groupBy("unit").agg(F.array_sort(F.collect_list(F.expr("struct(-score as loss, s, e, id)"))).alias("edges"))
+    subs = units.withColumn("n", F.char_length("unit")).select("unit", F.inline(_spans(pieces)))
+    return subs.join(F.broadcast(piece_table(units.sparkSession, pieces)), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")
 
 
 def _bytes_sql(pieces: Pieces, char: str) -> str:
@@ -199,24 +208,36 @@ def _bytes_sql(pieces: Pieces, char: str) -> str:
     return f"transform(sequence(1, octet_length({char})), k -> {table}[cast(conv(substring(hex({char}), 2 * k - 1, 2), 16, 10) as int)])"
 
 
-def merge_fold(edges: DataFrame, pieces: Pieces) -> DataFrame:
-    """(unit, ids) of a BPE model. Bit k of the mask says that a symbol starts or ends at k."""
-    marked = edges.withColumn("marks", F.expr("transform(edges, x -> struct(shiftleft(1L, x.s) | shiftleft(1L, x.e) as ends, shiftleft(1L, x.e + 1) - shiftleft(1L, x.s) as span, x.s as s, x.id as id))"))
-    mask = marked.withColumn("mask", F.expr("""
-        aggregate(sequence(1, char_length(unit)), struct(shiftleft(1L, char_length(unit) + 1) - 1L as m, true as go),
-          (a, i) -> if(a.go, transform(array(get(filter(marks, x -> (a.m & x.ends) = x.ends and bit_count(a.m & x.span) = 3), 0)),
-                     x -> struct(if(x is null, a.m, (a.m & ~x.span) | x.ends) as m, x is not null as go))[0], a)).m"""))
-    chosen = F.expr("array_sort(transform(filter(marks, x -> (mask & x.ends) = x.ends and bit_count(mask & x.span) = 2), x -> struct(x.s as s, x.id as id)))")
+def merge_fold(units: DataFrame, pieces: Pieces) -> DataFrame:
+    """(unit, ids) of a BPE model, for units of up to ``MASK_CHARS`` characters.
+
+    An edge is a long: rank, start, end and id + 1 (0: no piece), from the highest bits to the lowest, so edges sort by
+    merge order. Bit k of the mask says that a symbol starts or ends at k; an edge can be merged if its ends are set
+    and just one bit between them is.
+    """
+    edge = "(coalesce(rank, 1048575L) << 43) | (cast(s as bigint) << 37) | (cast(e as bigint) << 31) | cast(coalesce(id, -1) + 1 as bigint)"
+    grouped = _edges(units, pieces).select("unit", F.expr(edge).alias("edge")).groupBy("unit").agg(F.collect_list("edge").alias("edges"))
+    start, end = "cast(shiftright(x, 37) & 63 as int)", "cast(shiftright(x, 31) & 63 as int)"
+    merges = f"transform(sort_array(filter(edges, x -> (shiftright(x, 31) & 63) - (shiftright(x, 37) & 63) > 1)), x -> struct(shiftleft(1L, {start}) | shiftleft(1L, {end}) as ends, shiftleft(1L, {end} + 1) - shiftleft(1L, {start}) as span))"
+    mask = grouped.select("unit", "edges", F.expr(f"""
+        aggregate(array({merges}), 0L, (none, marks) ->
+          aggregate(sequence(1, char_length(unit)), struct(shiftleft(1L, char_length(unit) + 1) - 1L as m, true as go),
+            (a, i) -> if(a.go, transform(array(get(filter(marks, x -> (a.m & x.ends) = x.ends and bit_count(a.m & x.span) = 3), 0)),
+                       x -> struct(if(x is null, a.m, (a.m & ~x.span) | x.ends) as m, x is not null as go))[0], a)).m)""").alias("mask"))
+    left = f"(m & (shiftleft(1L, {end} + 1) - shiftleft(1L, {start}))) = (shiftleft(1L, {start}) | shiftleft(1L, {end}))"
+    # the mask is bound to a name: inside the lambda the optimizer may put its whole expression in its place
+    chosen = F.expr(f"transform(array(mask), m -> sort_array(transform(filter(edges, x -> {left}), x -> x & 8796093022207L)))[0]")  # without the rank, edges sort by start
     chosen = mask.select("unit", chosen.alias("chosen"))
-    return chosen.select("unit", F.expr(f"flatten(transform(chosen, x -> if(x.id is null, transform(array(substring(unit, x.s + 1, 1)), c -> {_bytes_sql(pieces, 'c')})[0], array(x.id))))").alias("ids"))
+    return chosen.select("unit", F.expr(f"flatten(transform(chosen, x -> if(x & 2147483647L = 0, transform(array(substring(unit, {start} + 1, 1)), c -> {_bytes_sql(pieces, 'c')})[0], array(cast((x & 2147483647L) - 1 as int)))))").alias("ids"))
 
 
-def viterbi_fold(edges: DataFrame, pieces: Pieces, unknown_penalty: float = 10.0) -> DataFrame:
+def viterbi_fold(units: DataFrame, pieces: Pieces, unknown_penalty: float = 10.0) -> DataFrame:
     """(unit, ids) of a unigram model: the path of the best sum of scores; of equals, that whose last piece starts first.
 
     A character that is no piece costs the worst piece's loss and ``unknown_penalty`` more.
     """
     worst = max(-s for _, s, _ in pieces.rows) + unknown_penalty
+    edges = _edges(units, pieces).groupBy("unit").agg(F.collect_list(F.expr("struct(-score as loss, s, e, id)")).alias("edges"))
     path = F.expr(f"""
         aggregate(array_sort(transform(edges, x -> struct(x.e as e, x.s as s, coalesce(x.loss, {worst}D) as loss, x.id as id))),
           transform(sequence(0, char_length(unit)), k -> struct(if(k = 0, 0D, double('inf')) as loss, cast(array() as array<struct<s: int, id: int>>) as path)),
@@ -233,9 +254,9 @@ def unit_table(texts: DataFrame, resolve: Callable[[], Pieces], algorithm: str)
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     units = texts.mapInArrow(_units(resolve), "unit string").distinct().repartition(n, "unit")
     if algorithm == "unigram":
-        return saved(viterbi_fold(lattice(units, pieces), pieces), "units")
+        return saved(viterbi_fold(units, pieces), "units")
     units = saved(units, "distinct-units")
-    short = lattice(units.filter(F.char_length("unit") <= MASK_CHARS).repartition(n, "unit"), pieces)
+    short = units.filter(F.char_length("unit") <= MASK_CHARS).repartition(n, "unit")
     long_ = units.filter(F.char_length("unit") > MASK_CHARS).mapInArrow(_long(resolve), "unit string, ids array<int>")
     return saved(merge_fold(short, pieces).unionByName(long_), "units")
 
@@ -252,23 +273,23 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int32)), "ids": pa.array([np.array(x.values, np.int32).tobytes() for x in ids], pa.binary())})
 
 
-def _encode(resolve: Callable[[], Pieces], table, schema) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+def _encode(resolve: Callable[[], Pieces], table, schema, text_at: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         pieces, arrow = resolve(), to_arrow_schema(schema)
         keys, at, flat = table.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).fill_null("").to_pylist()
+            texts = batch.column(text_at).fill_null("").to_pylist()
             for a, b in groups(texts):
                 _, _, hashes, bounds = cut(texts[a:b], pieces)
                 distinct, inverse = np.unique(hashes, return_inverse=True)
-                row = np.searchsorted(keys, distinct)[inverse] if len(keys) else inverse
+                row = np.searchsorted(keys, distinct)[inverse]
                 n = at[row + 1] - at[row] if len(row) else np.zeros(0, np.int64)
                 ends = np.concatenate([[0], np.cumsum(n)])
                 ids = flat[np.arange(ends[-1]) + np.repeat(at[row] - ends[:-1], n)] if len(row) else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(batch.num_columns - 1)), lists.cast(arrow.field(batch.num_columns - 1).type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(width)), lists.cast(arrow.field(width).type)], schema=arrow)
 
     return run
 
@@ -294,7 +315,9 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
     at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[order])])
     shared = spark.sparkContext.broadcast((keys[order], at, ids))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
-    return docs.select(*keep, text.alias("__piece_text")).mapInArrow(_encode(resolve, shared, schema), schema)
+    if text_col in keep and schema[text_col].dataType == T.StringType():
+        return docs.select(*keep).mapInArrow(_encode(resolve, shared, schema, keep.index(text_col), len(keep)), schema)
+    return docs.select(*keep, text.alias("__piece_text")).mapInArrow(_encode(resolve, shared, schema, len(keep), len(keep)), schema)
 
 
 def _split(resolve: Callable[[], Pieces]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
