@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.store import saved
 from arbora.llm.token_files import groups
-from arbora.llm.words import span_hashes
+from arbora.llm.words import span_hashes, text_chunks
 
 SPACE = "▁"
 BROADCAST_UNITS, MASK_CHARS, CHUNK = 8_000_000, 60, 1_000_000
@@ -187,17 +187,15 @@ def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
     return spark.createDataFrame(pa.Table.from_pydict({"piece": [p for p, _, _ in rows], "score": [s for _, s, _ in rows], "id": pa.array([i for _, _, i in rows], pa.int32()), "rank": pa.array(range(len(rows)), pa.int64())}))
 
 
-def _spans(pieces: Pieces) -> F.Column:
-    return F.expr(f"flatten(transform(sequence(1, n), i -> transform(sequence(1, least({pieces.longest}, n - i + 1)), l -> struct(i - 1 as s, i - 1 + l as e, substring(unit, i, l) as sub))))")
-
-
 def _edges(units: DataFrame, pieces: Pieces) -> DataFrame:
     """The pieces among each unit's substrings; single characters always, with null if they are no piece.
 
     ``units`` must be partitioned by unit: then no row moves when its edges are grouped. The piece table is as large as
     the model's vocabulary.
     """
-    subs = units.withColumn("n", F.char_length("unit")).select("unit", F.inline(_spans(pieces)))
+    starts = units.select("unit", F.char_length("unit").alias("n"), F.explode(F.expr("sequence(0, char_length(unit) - 1)")).alias("s"))
+    ends = starts.select("unit", "s", F.explode(F.expr(f"sequence(s + 1, least(s + {pieces.longest}, n))")).alias("e"))
+    subs = ends.select("unit", "s", "e", F.expr("substring(unit, s + 1, e - s)").alias("sub"))
     return subs.join(F.broadcast(piece_table(units.sparkSession, pieces)), F.col("sub") == F.col("piece"), "left").filter("id is not null or e = s + 1")
 
 
@@ -273,31 +271,52 @@ def _hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"key": pa.array(keys.view(np.int64)), "n": pa.array(np.diff(ids.offsets.to_numpy()).astype(np.int32)), "ids": pa.array([np.array(x.values, np.int32).tobytes() for x in ids], pa.binary())})
 
 
-def _encode(resolve: Callable[[], Pieces], table, schema, text_at: int, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
+@lru_cache(4)
+def _shown(pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """All ids' bytes in a row, and where each id's start."""
+    shown = [b or b"" for b in pieces.shown]
+    return np.frombuffer(b"".join(shown), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in shown])])
+
+
+def texts_of(ids: np.ndarray, bounds: np.ndarray, pieces: Pieces) -> list[str]:
+    """The texts of lists of ids in a row: their pieces' bytes as UTF-8, without the leading space."""
+    flat, at = _shown(pieces)
+    n = at[ids + 1] - at[ids] if len(ids) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(n)])
+    data = flat[np.arange(ends[-1]) + np.repeat(at[ids] - ends[:-1], n)].tobytes() if len(ids) else b""
+    cut_ = ends[bounds].tolist()
+    return [data[a:b].removeprefix(b" ").decode(errors="replace") for a, b in zip(cut_[:-1], cut_[1:], strict=True)]
+
+
+def _encode(resolve: Callable[[], Pieces], table, schema, text_at: int, width: int, decoded: bool) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:  # noqa: ANN001
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         pieces, arrow = resolve(), to_arrow_schema(schema)
         keys, at, flat = table.value
         for batch in batches:
-            texts = batch.column(text_at).fill_null("").to_pylist()
-            for a, b in groups(texts):
-                _, _, hashes, bounds = cut(texts[a:b], pieces)
+            for a, b, _, _ in text_chunks(batch.column(text_at), 1_000_000):
+                texts = batch.column(text_at).slice(a, b - a).fill_null("").to_pylist()
+                _, _, hashes, bounds = cut(texts, pieces)
                 distinct, inverse = np.unique(hashes, return_inverse=True)
                 row = np.searchsorted(keys, distinct)[inverse]
-                n = at[row + 1] - at[row] if len(row) else np.zeros(0, np.int64)
+                n = at[row + 1] - at[row] if len(row) else np.zeros(0, np.int32)
                 ends = np.concatenate([[0], np.cumsum(n)])
-                ids = flat[np.arange(ends[-1]) + np.repeat(at[row] - ends[:-1], n)] if len(row) else np.zeros(0, np.int32)
+                ids = flat[np.arange(ends[-1]) + np.repeat(at[row] - ends[:-1], n)].astype(np.int32) if len(row) else np.zeros(0, np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends[bounds].astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(width)), lists.cast(arrow.field(width).type)], schema=arrow)
+                made = [lists.cast(arrow.field(width).type)]
+                if decoded:
+                    made.append(pa.array(texts_of(ids, ends[bounds], pieces), arrow.field(width + 1).type))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(a, b - a) for k in range(width)), *made], schema=arrow)
 
     return run
 
 
-def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = "piece_bpe_32k.model", algorithm: str = "bpe", broadcast_units: int = BROADCAST_UNITS) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model: str = "piece_bpe_32k.model", algorithm: str = "bpe", broadcast_units: int = BROADCAST_UNITS, decoded_col: str | None = None) -> DataFrame:
     """docs with ``out_col``, the array of the text's piece ids; a column of that name is replaced.
 
-    Null and empty texts have no ids. U+2581 in a text counts as a space. Rows are kept as they are, whatever repeats.
+    ``decoded_col`` names a further column for the text that the ids decode to, as :func:`decode` gives it. Null and
+    empty texts have no ids. U+2581 in a text counts as a space. Rows are kept as they are, whatever repeats.
     An empty table comes back empty.
     """
     from pyspark.sql import types as T
@@ -305,19 +324,20 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
     spark, resolve = docs.sparkSession, public_pieces(model)
     text = F.col(text_col).cast("string")
     table = unit_table(docs.select(F.coalesce(text, F.lit("")).alias("text")), resolve, algorithm)
-    keep = [c for c in docs.columns if c != out_col]
+    keep = [c for c in docs.columns if c not in (out_col, decoded_col)]
     if table.count() > broadcast_units:
-        return _encode_joined(docs, table, resolve, keep, text, out_col)
+        joined = _encode_joined(docs, table, resolve, keep, text, out_col)
+        return decode(joined, out_col, decoded_col, model) if decoded_col else joined
     rows = table.mapInArrow(_hashed, "key long, n int, ids binary").toArrow()
     keys = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    ids = np.frombuffer(b"".join(rows["ids"].take(pa.array(order)).to_pylist()), np.int32)
-    at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[order])])
+    ids = np.frombuffer(b"".join(rows["ids"].take(pa.array(order)).to_pylist()), np.int32).astype(np.uint16 if len(resolve().shown) <= 65536 else np.int32)
+    at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[order])]).astype(np.int64 if len(ids) >> 31 else np.int32)
     shared = spark.sparkContext.broadcast((keys[order], at, ids))
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
     if text_col in keep and schema[text_col].dataType == T.StringType():
-        return docs.select(*keep).mapInArrow(_encode(resolve, shared, schema, keep.index(text_col), len(keep)), schema)
-    return docs.select(*keep, text.alias("__piece_text")).mapInArrow(_encode(resolve, shared, schema, len(keep), len(keep)), schema)
+        return docs.select(*keep).mapInArrow(_encode(resolve, shared, schema, keep.index(text_col), len(keep), bool(decoded_col)), schema)
+    return docs.select(*keep, text.alias("__piece_text")).mapInArrow(_encode(resolve, shared, schema, len(keep), len(keep), bool(decoded_col)), schema)
 
 
 def _split(resolve: Callable[[], Pieces]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -346,10 +366,14 @@ def _decode(resolve: Callable[[], Pieces], schema) -> Callable[[Iterable[pa.Reco
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        shown = [b or b"" for b in resolve().shown]
         for batch in batches:
             last = batch.num_columns - 1
-            texts = [b"".join(map(shown.__getitem__, x.values.to_pylist())).decode(errors="replace").removeprefix(" ") if x.is_valid else None for x in batch.column(last)]
+            lists = batch.column(last)
+            offsets = lists.offsets.to_numpy()
+            ids = lists.values[offsets[0] : offsets[-1]].to_numpy(zero_copy_only=False) if len(lists) else np.zeros(0, np.int32)
+            null = lists.is_null().to_pylist()
+            texts = texts_of(ids.astype(np.int64), offsets - offsets[0], resolve()) if len(lists) else []
+            texts = [None if n else t for t, n in zip(texts, null, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(texts, arrow.field(last).type)], schema=arrow)
 
     return run
