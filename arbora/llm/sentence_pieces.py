@@ -328,12 +328,15 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
     if table.count() > broadcast_units:
         joined = _encode_joined(docs, table, resolve, keep, text, out_col)
         return decode(joined, out_col, decoded_col, model) if decoded_col else joined
-    rows = table.mapInArrow(_hashed, "key long, n int, ids binary").toArrow()
+    rows = table.mapInArrow(_hashed, "key long, n int, ids binary").toArrow().combine_chunks()
     keys = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
-    ids = np.frombuffer(b"".join(rows["ids"].take(pa.array(order)).to_pylist()), np.int32).astype(np.uint16 if len(resolve().shown) <= 65536 else np.int32)
+    sorted_ids = rows["ids"].combine_chunks().cast(pa.large_binary()).take(pa.array(order))
+    ids = np.frombuffer(sorted_ids.buffers()[2] or b"", np.int32).astype(np.uint16 if len(resolve().shown) <= 65536 else np.int32)
     at = np.concatenate([[0], np.cumsum(rows["n"].to_numpy()[order])]).astype(np.int64 if len(ids) >> 31 else np.int32)
-    shared = spark.sparkContext.broadcast((keys[order], at, ids))
+    keys = keys[order]
+    del rows, order, sorted_ids
+    shared = spark.sparkContext.broadcast((keys, at, ids))
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
     if text_col in keep and schema[text_col].dataType == T.StringType():
         return docs.select(*keep).mapInArrow(_encode(resolve, shared, schema, keep.index(text_col), len(keep), bool(decoded_col)), schema)
