@@ -5,7 +5,8 @@ sketch of the set of their 64-bit digests: three subtables of ``CELLS`` cells, e
 digests that hash to it, and that of their checks. Sketches of two versions subtract cell by cell; a cell whose count is
 1 or -1 and whose check fits holds a digest of one version only, and removing it from its other cells may free more.
 If cells are left, the sketch was too small: it is made again larger, in groups of about ``LOAD`` digests, and a group
-that still fails once more with ``WIDE`` cells a subtable; what even that can't tell apart is compared directly.
+that fails again with more cells, up to the last of ``WIDTHS`` a subtable; what even that can't tell apart is compared
+directly.
 
 Likeness is the Jaccard similarity of the two digest sets, from the recovered differences; two texts without paragraphs
 are alike.
@@ -16,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, WIDE, LOAD = 8, 64, 6
+CELLS, LOAD = 8, 3
+WIDTHS = (4, 16, 64)
 LEAST = -(2**63)
 _NONE = "cast(array() as array<bigint>)"
 
@@ -42,9 +44,9 @@ def subtract(one: str, two: str) -> str:
 
 def peel(cells: str, width: int, steps: str) -> str:
     """SQL: struct(c, a, b, go): the cells that are left, and the digests recovered for either side."""
-    places = " or ".join(f"q = {width * t} + cast(shiftrightunsigned(p.k, {6 * t}) & {width - 1} as int)" for t in range(3))
+    places = "array(" + ", ".join(f"{width * t} + cast(shiftrightunsigned(p.k, {6 * t}) & {width - 1} as int)" for t in range(3)) + ")"
     taken = f"""if(p is null, named_struct('c', s.c, 'a', s.a, 'b', s.b, 'go', false), named_struct(
-        'c', transform(s.c, (x, q) -> if({places}, named_struct('n', x.n - p.n, 'k', x.k ^ p.k, 'h', x.h ^ p.h), x)),
+        'c', {_let('at', places, "transform(s.c, (x, q) -> if(array_contains(at, q), named_struct('n', x.n - p.n, 'k', x.k ^ p.k, 'h', x.h ^ p.h), x))")},
         'a', if(p.n = 1, concat(s.a, array(p.k)), s.a), 'b', if(p.n = -1, concat(s.b, array(p.k)), s.b), 'go', true))"""
     pure = "get(filter(s.c, x -> abs(x.n) = 1 and x.h = xxhash64(x.k)), 0)"
     return f"aggregate(sequence(1, {steps}), named_struct('c', {cells}, 'a', {_NONE}, 'b', {_NONE}, 'go', true), (s, i) -> if(s.go, {_let('p', pure, taken)}, s))"
@@ -57,10 +59,20 @@ def _clean(state: str) -> str:
 def difference(one: str, two: str, one_sketch: str, two_sketch: str) -> str:
     """SQL: struct(a, b), the digests only in the first and only in the second set; all four are columns."""
     sides = lambda s: f"named_struct('a', {s}.a, 'b', {s}.b)"
-    wide = _let("w", peel(subtract(_let("v", "ga", sketch("v", WIDE)), _let("v", "gb", sketch("v", WIDE))), WIDE, "greatest(1, size(ga) + size(gb))"), f"if({_clean('w')}, {sides('w')}, named_struct('a', array_except(ga, gb), 'b', array_except(gb, ga)))")
-    group = _let("r", peel(subtract(sketch("ga", CELLS), sketch("gb", CELLS)), CELLS, "greatest(1, size(ga) + size(gb))"), f"if({_clean('r')}, {sides('r')}, {wide})")
-    pick = lambda d: f"filter({d}, d -> shiftrightunsigned(d, 32) & (groups - 1) = g)"
-    grouped = _let("ones", one, _let("twos", two, _let("groups", f"shiftleft(1L, cast(ceil(log2(greatest(1.0D, (size(ones) + size(twos)) / {LOAD}D))) as int))", _let("parts", f"transform(sequence(0L, groups - 1), g -> {_let('ga', pick('ones'), _let('gb', pick('twos'), group))})", "named_struct('a', flatten(parts.a), 'b', flatten(parts.b))"))))
+    group = "named_struct('a', array_except(ga, gb), 'b', array_except(gb, ga))"
+    for k, width in reversed([*enumerate(WIDTHS)]):
+        cells = subtract(sketch("ga", width), sketch("gb", width))
+        group = _let(f"r{k}", peel(cells, width, "greatest(1, size(ga) + size(gb))"), f"if({_clean(f'r{k}')}, {sides(f'r{k}')}, {group})")
+
+    def split(bits: str, shift: int, name: str, ones: str, twos: str, to: tuple[str, str], body: str) -> str:
+        """Both sets in 2^bits parts by the digests' bits from ``shift``; the body for each part, in a row."""
+        pick = lambda d: f"filter({d}, d -> shiftrightunsigned(d, {shift}) & ({name} - 1) = {name}i)"
+        return _let(name, f"shiftleft(1L, cast({bits} as int))", f"transform(sequence(0L, {name} - 1), {name}i -> {_let(to[0], pick(ones), _let(to[1], pick(twos), body))})")
+
+    inner = split("bits - (bits div 2)", 32, "fine", "ha", "hb", ("ga", "gb"), group)
+    parts = f"flatten({split('bits div 2', 48, 'coarse', 'ones', 'twos', ('ha', 'hb'), inner)})"
+    bits = f"cast(ceil(log2(greatest(1.0D, (size(ones) + size(twos)) / {LOAD}D))) as int)"
+    grouped = _let("ones", one, _let("twos", two, _let("bits", bits, _let("parts", parts, "named_struct('a', flatten(parts.a), 'b', flatten(parts.b))"))))
     first = peel(subtract(one_sketch, two_sketch), CELLS, str(3 * CELLS))
     return _let("f", first, f"if({_clean('f')}, {sides('f')}, {grouped})")
 
