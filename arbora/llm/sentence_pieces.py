@@ -165,7 +165,7 @@ def _units(resolve: Callable[[], Pieces]) -> Callable[[Iterable[pa.RecordBatch]]
                 place = np.searchsorted(seen, keys)
                 new = seen[np.minimum(place, len(seen) - 1)] != keys if len(seen) else np.ones(len(keys), bool)
                 seen = np.insert(seen, place[new], keys[new])
-                end = np.append(start[1:], len(joined))
+                end = np.append(start[1:], len(joined))[: len(start)]
                 at = first[new]
                 yield pa.RecordBatch.from_pydict({"unit": pa.array([joined[x:y] for x, y in zip(start[at].tolist(), end[at].tolist(), strict=True)], pa.string())})
 
@@ -349,7 +349,7 @@ def _split(resolve: Callable[[], Pieces]) -> Callable[[Iterable[pa.RecordBatch]]
             texts, rows = batch.column(1).fill_null("").to_pylist(), batch.column(0).to_numpy()
             for a, b in groups(texts):
                 joined, start, _, bounds = cut(texts[a:b], resolve())
-                end, n = np.append(start[1:], len(joined)), np.diff(bounds)
+                end, n = np.append(start[1:], len(joined))[: len(start)], np.diff(bounds)
                 yield pa.RecordBatch.from_pydict({"row": pa.array(np.repeat(rows[a:b], n)), "pos": pa.array(np.arange(len(start)) - np.repeat(bounds[:-1], n)), "unit": pa.array([joined[x:y] for x, y in zip(start.tolist(), end.tolist(), strict=True)], pa.string())})
 
     return run

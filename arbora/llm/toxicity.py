@@ -148,6 +148,8 @@ def fit_chain(ids: list[int], sets: list[np.ndarray], toxic: np.ndarray) -> Chai
     has = {c: np.array([bool(np.isin([word_hash(w) for w in LISTS[c]], s).any()) for s in sets]) for c in LISTS}
     labels = {c: toxic * has[c] if c in has else toxic for c in CHAIN}
     out = Chain(keys=_select(sets, toxic), labels=labels)
+    if not len(out.keys):
+        return Chain()
     full = _matrix(sets, out.keys)
     parts = [(np.flatnonzero(fold != f), np.flatnonzero(fold == f)) for f in range(FOLDS)]
     views = [_matrix(sets, _select([sets[i] for i in train], toxic[train])) for train, _ in parts]
@@ -172,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A chain from the labelled rows of docs, ``TRAIN_ROWS`` at most.
 
     Labels without an id or a flag are left out; of an id's labels the highest counts; of rows with equal ids one is
-    used. No labels, or no toxic ones, give a chain that rejects nothing.
+    used. No labels, no toxic ones, or none with a telling feature give a chain that
+    rejects nothing.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc"), F.col("toxic").cast("int").alias("toxic")).dropna().groupBy("doc").agg(F.max("toxic").alias("toxic"))
     sample = rows.orderBy(F.xxhash64("doc"), "doc").limit(TRAIN_ROWS)
@@ -183,9 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit_chain(ids.tolist(), [np.frombuffer(f, np.uint64) for f in features], table["toxic"].to_numpy()[first] > 0)
 
 
-def _score(chain: Chain, width: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = [f"p_{c}" for c in CHAIN]
-
+def _score(chain: Chain, width: int, names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, data, offsets in W.text_chunks(batch.column(width)):
@@ -202,26 +203,26 @@ def _score(chain: Chain, width: int) -> Callable[[Iterable[pa.RecordBatch]], Ite
     return run
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", prefix: str = "") -> DataFrame:
     """docs with p_insult, p_contempt, p_toxic and toxic (p_toxic reaches the threshold); such columns are replaced.
 
-    Null, empty and word-less texts are scored on the bias alone. Equal texts have equal scores. The chain in the task's
+    ``prefix`` goes before the four names. Null, empty and word-less texts are scored on the bias alone. Equal texts have equal scores. The chain in the task's
     closure is ``FEATURES`` hashes and weights.
     """
     from pyspark.sql import types as T
 
-    names = [f"p_{c}" for c in CHAIN]
-    keep = [c for c in docs.columns if c not in (*names, "toxic")]
+    names = [f"{prefix}p_{c}" for c in CHAIN]
+    keep = [c for c in docs.columns if c not in (*names, f"{prefix}toxic")]
     schema = T.StructType([*docs.select(*keep).schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
     small = Chain(chain.keys, chain.weights, chain.threshold)
-    out = docs.select(*keep, F.col(text_col).cast("string").alias("__tox_text")).mapInArrow(_score(small, len(keep)), schema)
-    return out.withColumn("toxic", (F.col("p_toxic") >= chain.threshold) & F.lit(bool(len(chain.weights))))
+    out = docs.select(*keep, F.col(text_col).cast("string").alias("__tox_text")).mapInArrow(_score(small, len(keep), names), schema)
+    return out.withColumn(f"{prefix}toxic", (F.col(f"{prefix}p_toxic") >= chain.threshold) & F.lit(bool(len(chain.weights))))
 
 
 def reject(docs: DataFrame, labels: DataFrame, all_docs: DataFrame | None = None) -> DataFrame:
-    """The rows of docs, all columns, that a chain trained on the labels (of all_docs) doesn't find toxic."""
-    scored = score(docs.select("*", F.lit(1).alias("__tox_row")) if not docs.columns else docs, train(docs if all_docs is None else all_docs, labels))
-    kept = scored.filter(~F.col("toxic"))
-    if {"toxic", *(f"p_{c}" for c in CHAIN)} & {*docs.columns}:
-        raise ValueError("docs has a column that the scores are named after")
-    return kept.select(*docs.columns)
+    """The rows of docs, all columns, that a chain trained on the labels (of all_docs) doesn't find toxic.
+
+    Columns of docs keep their names and values, whatever they are called. Null and empty texts stay.
+    """
+    scored = score(docs, train(docs if all_docs is None else all_docs, labels), prefix="__tox_")
+    return scored.filter(~F.col("__tox_toxic")).select(*docs.columns)
