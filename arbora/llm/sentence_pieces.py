@@ -337,6 +337,8 @@ def encode(docs: DataFrame, text_col: str = "text", out_col: str = "ids", model:
     keys = keys[order]
     del rows, order, sorted_ids
     shared = spark.sparkContext.broadcast((keys, at, ids))
+    del keys, at, ids
+    pa.default_memory_pool().release_unused()
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType())), *([T.StructField(decoded_col, T.StringType())] if decoded_col else [])])
     if text_col in keep and schema[text_col].dataType == T.StringType():
         return docs.select(*keep).mapInArrow(_encode(resolve, shared, schema, keep.index(text_col), len(keep), bool(decoded_col)), schema)

@@ -117,21 +117,39 @@ class Chain:
         return out
 
 
-def _select(sets: list[np.ndarray], toxic: np.ndarray) -> np.ndarray:
-    """The features with the largest |z| between the shares of toxic and of other texts that have them."""
-    every, number = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
-    weight = np.repeat(toxic, [len(s) for s in sets])
-    n1, n0 = max(1, toxic.sum()), max(1, (1 - toxic).sum())
-    c1 = np.bincount(number, weight, len(every))
-    c = np.bincount(number, minlength=len(every))
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of ``LEAST_TEXTS`` texts or more, and (text, feature) of all their uses; the rest takes no memory."""
+    flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+    owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
+    bucket = (flat & np.uint64((1 << 22) - 1)).astype(np.int32)
+    often = np.bincount(bucket, minlength=1 << 22)[bucket] >= LEAST_TEXTS  # a superset: most features of few texts go
+    flat, owner = flat[often], owner[often]
+    every, number, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count >= LEAST_TEXTS
+    used = keep[number]
+    return every[keep], owner[used], (np.cumsum(keep) - 1).astype(np.int32)[number[used]]
+
+
+def _select(index: tuple[np.ndarray, np.ndarray, np.ndarray], toxic: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of the features with the largest |z| between the shares of toxic and of other texts among ``rows``."""
+    every, owner, number = index
+    n1, n0 = max(1, toxic[rows].sum()), max(1, (rows & (toxic == 0)).sum())
+    c = np.bincount(number[rows[owner]], minlength=len(every))
+    c1 = np.bincount(number[(rows & (toxic > 0))[owner]], minlength=len(every))
     share = c / (n1 + n0)
     z = (c1 / n1 - (c - c1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
     good = np.flatnonzero((np.abs(z) >= LEAST_Z) & (c >= LEAST_TEXTS))
-    return np.sort(every[good[np.lexsort((every[good], -np.abs(z[good])))][:FEATURES]])
+    return np.sort(good[np.lexsort((every[good], -np.abs(z[good])))][:FEATURES])
 
 
-def _matrix(sets: list[np.ndarray], keys: np.ndarray) -> np.ndarray:
-    return np.array([np.isin(keys, s, assume_unique=True) for s in sets], np.float64).reshape(len(sets), len(keys))
+def _matrix(index: tuple[np.ndarray, np.ndarray, np.ndarray], places: np.ndarray, n: int) -> np.ndarray:
+    _, owner, number = index
+    column = np.full(len(index[0]), -1, np.int32)
+    column[places] = np.arange(len(places))
+    used = column[number] >= 0
+    out = np.zeros((n, len(places)), np.float32)
+    out[owner[used], column[number[used]]] = 1
+    return out
 
 
 def fit_chain(ids: list[int], sets: list[np.ndarray], toxic: np.ndarray) -> Chain:
@@ -147,12 +165,14 @@ def fit_chain(ids: list[int], sets: list[np.ndarray], toxic: np.ndarray) -> Chai
     fold = np.argsort(np.argsort(np.array(ids), kind="stable")) % FOLDS
     has = {c: np.array([bool(np.isin([word_hash(w) for w in LISTS[c]], s).any()) for s in sets]) for c in LISTS}
     labels = {c: toxic * has[c] if c in has else toxic for c in CHAIN}
-    out = Chain(keys=_select(sets, toxic), labels=labels)
+    index = _index(sets)
+    chosen = _select(index, toxic, np.ones(len(sets), bool))
+    out = Chain(keys=index[0][chosen], labels=labels)
     if not len(out.keys):
         return Chain()
-    full = _matrix(sets, out.keys)
+    full = _matrix(index, chosen, len(sets))
     parts = [(np.flatnonzero(fold != f), np.flatnonzero(fold == f)) for f in range(FOLDS)]
-    views = [_matrix(sets, _select([sets[i] for i in train], toxic[train])) for train, _ in parts]
+    views = [_matrix(index, _select(index, toxic, fold != f), len(sets)) for f in range(FOLDS)]
     before = np.zeros((len(sets), 0))
     for c in CHAIN:
         held = np.zeros(len(sets))
@@ -182,8 +202,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc")
     table = texts.select("doc", "toxic", "text").mapInArrow(_collect, "doc long, toxic int, features binary").toArrow()
     ids, first = np.unique(table["doc"].to_numpy(), return_index=True)
-    features = table["features"].take(pa.array(first)).to_pylist() if len(first) else []
-    return fit_chain(ids.tolist(), [np.frombuffer(f, np.uint64) for f in features], table["toxic"].to_numpy()[first] > 0)
+    features = table["features"].combine_chunks().cast(pa.large_binary()).take(pa.array(first)) if len(first) else pa.array([], pa.large_binary())
+    toxic = table["toxic"].to_numpy()[first] > 0
+    del table
+    flat = np.frombuffer(features.buffers()[2], np.uint64) if len(first) else np.zeros(0, np.uint64)
+    cut = np.frombuffer(features.buffers()[1], np.int64)[: len(first) + 1] // 8 if len(first) else np.zeros(1, np.int64)
+    chain = fit_chain(ids.tolist(), [flat[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], toxic)
+    del features, flat
+    pa.default_memory_pool().release_unused()
+    return chain
 
 
 def _score(chain: Chain, width: int, names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
