@@ -27,10 +27,23 @@ def _too_long(kind: str) -> Column:
     return bad
 
 
+def numbered(rows: DataFrame, after: int = 0, out: str = "id", pos: str = "pos") -> DataFrame:
+    """``out``: after + 1, after + 2, ... in order of ``pos``.
+
+    Rows are numbered in blocks of 2**20 positions; only the blocks' counts are summed up in one task.
+    """
+    blocked = rows.withColumn("_block", F.shiftright(F.col(pos).cast("long"), 20))
+    counts = blocked.groupBy("_block").agg(F.count("*").alias("_n"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_block").orderBy(pos))
+    return blocked.join(counts, "_block").withColumn(out, (F.lit(after) + F.col("_before") + rank).cast("long")).drop("_block", "_before")
+
+
 def _numbered(items: DataFrame, table: DataFrame) -> DataFrame:
     """Ids for the items whose status is ok, after the table's highest, in input order."""
     top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first().top
-    ok = items.filter("status = 'ok'").withColumn("id", F.lit(top) + F.row_number().over(Window.orderBy("pos")))
+    ok = numbered(items.filter("status = 'ok'"), top)
     return ok.unionByName(items.filter("status != 'ok'").withColumn("id", F.lit(0).cast("long")))
 
 
@@ -42,7 +55,7 @@ def create_links(links: DataFrame, categories: DataFrame, items: DataFrame, stat
     known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("known"))
     taken = links.select("url").distinct().withColumn("taken", F.lit(True))
     checked = items.join(known, "category_id", "left").join(taken, "url", "left")
-    first = F.when(_too_long("link"), "invalid").when((F.col("category_id") != 0) & F.col("known").isNull(), "category_not_found").when(F.col("taken"), "duplicate_url")
+    first = F.when(_too_long("link"), "field_too_long").when((F.col("category_id") != 0) & F.col("known").isNull(), "category_not_found").when(F.col("taken"), "duplicate_url")
     checked = checked.withColumn("status", first)
     rank = F.row_number().over(Window.partitionBy("url", F.col("status").isNull()).orderBy("pos"))
     checked = checked.withColumn("status", F.coalesce("status", F.when(rank > 1, "duplicate_url").otherwise("ok"))).drop("known", "taken")
@@ -55,7 +68,7 @@ def create_links(links: DataFrame, categories: DataFrame, items: DataFrame, stat
 def create_categories(categories: DataFrame, items: DataFrame) -> Result:
     """items: (pos, parent_id, name, slug, description). The parent must exist unless it is 0; slugs may repeat."""
     known = categories.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    bad = F.when(_too_long("category"), "invalid").when((F.col("parent_id") != 0) & F.col("known").isNull(), "parent_not_found").otherwise("ok")
+    bad = F.when(_too_long("category"), "field_too_long").when((F.col("parent_id") != 0) & F.col("known").isNull(), "parent_not_found").otherwise("ok")
     done = _numbered(items.join(known, "parent_id", "left").withColumn("status", bad).drop("known"), categories)
     blank = {c: F.lit(None).cast(categories.schema[c].dataType) for c in categories.columns if c not in ("id", "parent_id", "name", "slug", "description")}
     new = done.filter("status = 'ok'").select("id", "parent_id", "name", "slug", "description").withColumns(blank)
@@ -74,7 +87,7 @@ def update_text(table: DataFrame, key: int, kind: str, **fields: str) -> Result:
     """Sets the given fields of one row; other rows' urls aren't looked at."""
     bad = any(len(v.encode()) > S.LIMITS[kind][f] for f, v in fields.items())
     hit = F.col("id") == key
-    found = table.filter(hit).select(F.lit(0).alias("pos"), "id", F.lit("invalid" if bad else "ok").alias("status"))
+    found = table.filter(hit).select(F.lit(0).alias("pos"), "id", F.lit("field_too_long" if bad else "ok").alias("status"))
     out = table if bad else table.withColumns({f: F.when(hit, F.lit(v)).otherwise(F.col(f)) for f, v in fields.items()})
     return Result(out, found)
 
@@ -82,7 +95,7 @@ def update_text(table: DataFrame, key: int, kind: str, **fields: str) -> Result:
 def set_status(links: DataFrame, ids: list[int], status: int) -> Result:
     """Per id: ok, not_found, or already_in_state."""
     if status not in (0, 1, 2):
-        raise S.DirectoryError("invalid", "unknown status")
+        raise S.DirectoryError("unsupported_order", "unknown status")
     asked = H.wanted(links.sparkSession, ids)
     codes = asked.join(links.select("id", F.col("status").alias("old")), "id", "left").select("pos", "id", F.when(F.col("old").isNull(), "not_found").when(F.col("old") == status, "already_in_state").otherwise("ok").alias("status"))
     return Result(links.withColumn("status", F.when(F.col("id").isin(ids), F.lit(status)).otherwise(F.col("status"))), codes)
@@ -106,17 +119,21 @@ def move_links(links: DataFrame, categories: DataFrame, ids: list[int], target:
 
 def move_category(categories: DataFrame, category: int, parent: int, tree: DataFrame | None = None) -> DataFrame:
     """The same parent changes nothing; a category can't go under itself or what is below it."""
-    tree = H.closure(categories) if tree is None else tree
-    if category == parent or H.is_cycle(tree, category, parent):
-        raise S.DirectoryError("circular_reference")
+    if categories.filter(F.col("id") == category).isEmpty():
+        raise S.DirectoryError("category_not_found")
     if parent and categories.filter(F.col("id") == parent).isEmpty():
         raise S.DirectoryError("parent_not_found")
+    tree = H.closure(categories, S.MAX_HOPS) if tree is None else tree
+    if category == parent or H.is_cycle(tree, category, parent):
+        raise S.DirectoryError("circular_reference")
+    if tree.filter((F.col("descendant") == parent) & (F.col("depth") >= S.MAX_HOPS - 1)).limit(1).count():
+        raise S.DirectoryError("path_too_deep")
     return categories.withColumn("parent_id", F.when(F.col("id") == category, F.lit(parent).cast("long")).otherwise(F.col("parent_id")))
 
 
 def rename_category(categories: DataFrame, category: int, slug: str) -> DataFrame:
     if len(slug.encode()) > S.LIMITS["category"]["slug"]:
-        raise S.DirectoryError("invalid")
+        raise S.DirectoryError("field_too_long")
     return categories.withColumn("slug", F.when(F.col("id") == category, F.lit(slug)).otherwise(F.col("slug")))
 
 
@@ -129,6 +146,39 @@ def delete_category(categories: DataFrame, links: DataFrame, category: int) -> t
     return categories.filter(F.col("id") != category), links.filter(F.col("category_id") != category)
 
 
+def delete_categories(categories: DataFrame, links: DataFrame, ids: list[int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(categories, links, codes): the ids one after the other; per id ok, not_found or has_children.
+
+    A category goes if all its children went earlier in the request. The children within the request, at most its size,
+    are the only rows that the driver sees.
+    """
+    spark, asked = categories.sparkSession, H.wanted(categories.sparkSession, ids)
+    known = {r.id for r in categories.filter(F.col("id").isin(ids)).select("id").collect()}
+    kids = categories.filter(F.col("parent_id").isin(ids)).groupBy("parent_id").agg(F.count_if(~F.col("id").isin(ids)).alias("outside"), F.collect_list(F.when(F.col("id").isin(ids), F.col("id"))).alias("inside"))
+    held = {r.parent_id: (r.outside, set(r.inside)) for r in kids.collect()}
+    codes = []
+    for pos, key in enumerate(ids):
+        outside, inside = held.get(key, (0, set()))
+        code = "not_found" if key not in known else "has_children" if outside or inside & known else "ok"
+        codes.append((pos, key, code))
+        known -= {key} if code == "ok" else set()
+    gone = [key for _, key, code in codes if code == "ok"]
+    named = F.element_at(F.array(*(F.lit(code) for _, _, code in codes)), F.col("pos") + 1) if codes else F.lit("ok")
+    items = asked.select("pos", "id", named.alias("status"))
+    return categories.filter(~F.col("id").isin(gone)), links.filter(~F.coalesce(F.col("category_id").isin(gone), F.lit(False))), items
+
+
+def with_codes(items: DataFrame) -> DataFrame:
+    """items with ``code`` and ``sub_code``, the wire numbers of their status."""
+    pick = lambda k: F.create_map(*(F.lit(x) for name, pair in S.CODES.items() for x in (name, pair[k])))[F.col("status")]
+    return items.withColumn("code", pick(0)).withColumn("sub_code", pick(1))
+
+
+def create_submissions(links: DataFrame, categories: DataFrame, items: DataFrame) -> Result:
+    """Links that wait for approval; items carry ``submitter_id``."""
+    return create_links(links, categories, items, S.PENDING)
+
+
 def collapse_roots(categories: DataFrame, root: int) -> DataFrame:
     """All other roots become children of ``root``."""
     return categories.withColumn("parent_id", F.when((F.col("parent_id") == 0) & (F.col("id") != root), F.lit(root).cast("long")).otherwise(F.col("parent_id")))

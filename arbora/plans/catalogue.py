@@ -15,7 +15,7 @@ from arbora.operators import rollup as R
 from arbora.operators import search as Q
 from arbora.operators import verify as V
 from arbora.sources import lenses
-from arbora.streaming import changelog
+from arbora.streaming import changelog, effects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -477,6 +477,61 @@ def rebuild_index(d: Geo) -> DataFrame:
     return out
 
 
+def _link_effects(d: Geo) -> DataFrame:
+    """Every link inserted; of multiples of 3 the title changed, of 5 the category, of 7 deleted; each effect twice."""
+    links = d.links.select("id", "category_id", "url", "title", "status")
+    titled = F.when(F.col("id") % 3 == 0, F.lower("title")).otherwise(F.col("title"))
+    steps = [("link_inserted", links), ("link_text_updated", links.filter("id % 3 = 0").withColumn("title", F.lower("title"))), ("link_recategorized", links.filter("id % 5 = 0").withColumns({"title": titled, "category_id": F.lit(1004).cast("long")})), ("link_deleted", links.filter("id % 7 = 0"))]
+    parts = [rows.select((F.col("id") * 4 + k).alias("seq"), F.lit(effects.LINK_OPS[op]).alias("op"), F.struct(*links.columns).alias("record")) for k, (op, rows) in enumerate(steps)]
+    log = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    return log.unionByName(log)
+
+
+_LINK_EFFECTS_SQL = """SELECT id, CASE WHEN id % 5 = 0 THEN 1004 ELSE category_id END::BIGINT AS category_id, url, CASE WHEN id % 3 = 0 THEN lower(title) ELSE title END AS title, status FROM links WHERE id % 7 != 0"""
+
+
+@geo(_LINK_EFFECTS_SQL)
+def effects_links(d: Geo) -> DataFrame:
+    return effects.apply_effects(d.links.select("id", "category_id", "url", "title", "status").limit(0), _link_effects(d), "link")
+
+
+def _category_effects(d: Geo) -> DataFrame:
+    """Regions renamed, nation 100 moved to region 14, every fourth leaf deleted."""
+    steps = [("category_renamed", d.cats.filter("id between 10 and 99").withColumn("slug", F.concat("slug", F.lit("-x")))), ("category_moved", d.cats.filter("id = 100").withColumn("parent_id", F.lit(14).cast("long"))), ("category_deleted", d.cats.filter("id >= 1000 and id % 4 = 0"))]
+    parts = [rows.select((F.col("id") * 4 + k).alias("seq"), F.lit(effects.CATEGORY_OPS[op]).alias("op"), F.struct(*d.cats.columns).alias("record")) for k, (op, rows) in enumerate(steps)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_AFTER_SQL = """, after AS (SELECT id, CASE WHEN id = 100 THEN 14 ELSE parent_id END::BIGINT AS parent_id, CASE WHEN id BETWEEN 10 AND 99 THEN slug || '-x' ELSE slug END AS slug FROM cats WHERE NOT (id >= 1000 AND id % 4 = 0)),
+  up2 AS (SELECT id AS descendant, id AS ancestor, 0 AS depth FROM after UNION ALL SELECT u.descendant, c.parent_id, u.depth + 1 FROM up2 u JOIN after c ON c.id = u.ancestor WHERE c.parent_id != 0)
+"""
+
+
+@geo(_AFTER_SQL + """SELECT descendant AS id, string_agg(slug, '/' ORDER BY depth DESC) AS path FROM up2 JOIN after ON after.id = ancestor GROUP BY descendant""")
+def effects_category_paths(d: Geo) -> DataFrame:
+    return H.slug_paths(effects.apply_effects(d.cats, _category_effects(d), "category"))
+
+
+@geo(f""", later AS ({_LINK_EFFECTS_SQL}), own AS (SELECT c.id, (SELECT count(*) FROM later WHERE category_id = c.id) AS n FROM cats c)
+  SELECT ancestor AS id, sum(n)::BIGINT AS link_count_subtree FROM up JOIN own ON own.id = descendant GROUP BY ancestor""")
+def effects_counts(d: Geo) -> DataFrame:
+    """The counts before the log, and what differs after it as deltas."""
+    tree, before = d.tree, d.links.select("id", "category_id", "url", "title", "status")
+    after = effects.apply_effects(before, _link_effects(d), "link")
+    return R.apply_deltas(R.subtree_counts(d.cats, d.links, tree), effects.deltas((before, after), (d.cats, d.cats)), tree).select("id", "link_count_subtree")
+
+
+@geo("""SELECT pos::INT AS pos, id::BIGINT AS id, status, code, sub_code FROM (VALUES (0, 100, 'has_children', 6, 0), (1, 1000, 'ok', 0, 0), (2, 999999, 'not_found', 1, 0), (3, 1000, 'not_found', 1, 0)) t(pos, id, status, code, sub_code)""")
+def bulk_delete_category_codes(d: Geo) -> DataFrame:
+    return M.with_codes(M.delete_categories(d.cats, d.links, [100, 1000, 999999, 1000])[2])
+
+
+@geo("""SELECT status AS status, count(*) AS n FROM (SELECT status FROM links UNION ALL SELECT 0 FROM links WHERE id % 2 = 1 AND id % 10 != 0) GROUP BY 1""")
+def create_submissions(d: Geo) -> DataFrame:
+    items = _bulk_items(d).withColumn("submitter_id", F.lit(7).cast("long"))
+    return M.create_submissions(d.links, d.cats, items).table.groupBy("status").agg(F.count("*").alias("n"))
+
+
 def changelog_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.replay(lenses.change_log(spark, sf_dir))
 

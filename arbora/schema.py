@@ -15,6 +15,11 @@ LIMITS = {"category": {"name": 64, "slug": 128, "description": 1024}, "link": {"
 PENDING, APPROVED, REJECTED = 0, 1, 2
 PAGE_CAP, SEARCH_CAP, BATCH_CAP, MAX_OFFSET, DEFAULT_PAGE = 100, 50, 200, 5000, 50
 MAX_DEPTH, MAX_HOPS, MAX_PATH_BYTES = 64, 256, 2048
+# Result name -> (status, sub-status) of the wire protocol.
+CODES = {
+    "ok": (0, 0), "already_in_state": (0, 0), "not_found": (1, 0), "duplicate_url": (2, 7), "invalid": (3, 0), "field_too_long": (3, 1), "invalid_slug": (3, 2), "buffer_too_small": (3, 3),
+    "path_too_deep": (3, 4), "unsupported_order": (3, 5), "offset_too_large": (3, 8), "already_in_progress": (4, 9), "category_not_found": (5, 0), "parent_not_found": (5, 6), "has_children": (6, 0), "circular_reference": (7, 0),
+}
 TOKEN_MIN, TOKEN_MAX, QUERY_MIN = 2, 64, 2
 
 
@@ -24,3 +29,4 @@ class DirectoryError(ValueError):
     def __init__(self, status: str, message: str = "") -> None:
         super().__init__(message or status)
         self.status = status
+        self.code, self.sub_code = CODES.get(status, (4, 0))

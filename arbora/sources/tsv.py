@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.mutate import numbered
+
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows with ``pos``, their place in the input."""
@@ -28,7 +30,7 @@ def import_categories(rows: DataFrame) -> DataFrame:
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    kept = rows.join(seen.select("path"), "path", "left_semi").withColumn("id", (F.row_number().over(Window.orderBy("pos")) + 1).cast("long"))
+    kept = numbered(rows.join(seen.select("path"), "path", "left_semi"), after=1)
     top = spark.createDataFrame([(1, 0, "Top", "top", "Top")], "id long, parent_id long, name string, slug string, path string")
     ids = kept.select(F.col("path").alias("parent_path"), F.col("id").alias("pid")).unionByName(top.select(F.col("path").alias("parent_path"), F.col("id").alias("pid")))
     return top.unionByName(kept.join(ids, "parent_path").select("id", F.col("pid").alias("parent_id"), "name", "slug", "path"))
@@ -38,7 +40,7 @@ def import_links(rows: DataFrame, categories: DataFrame) -> DataFrame:
     """(id, category_id, url, title, description) from (pos, topic, url, title, description): known topics only, first of equal urls."""
     known = categories.select(F.col("path").alias("topic"), F.col("id").alias("category_id"))
     good = rows.filter("topic != '' and url != ''").join(known, "topic").withColumn("rn", F.row_number().over(Window.partitionBy("url").orderBy("pos"))).filter("rn = 1")
-    return good.select(F.row_number().over(Window.orderBy("pos")).cast("long").alias("id"), "category_id", "url", "title", "description")
+    return numbered(good).select("id", "category_id", "url", "title", "description")
 
 
 def bootstrap(spark: SparkSession) -> DataFrame:

@@ -11,9 +11,9 @@ from arbora.operators import search as Q
 from arbora.operators import verify as V
 from arbora.plans import catalogue
 from arbora.sources import tsv
-from arbora.streaming import changelog
+from arbora.streaming import changelog, effects
 
-CHECKED = ["get_link", "get_categories_batch", "list_children_page", "list_links_keyset", "subtree_links_cursor", "subtree_links_all", "ancestors", "breadcrumbs_batch", "slug_paths", "slug_only_index", "resolve_leaf", "browse_path", "postings", "search_and", "search_match_field", "subtree_counts", "category_facet", "tag_chips", "tag_filter", "enrich_links", "dup_urls", "bulk_import_tally", "bulk_status_codes", "bulk_delete_codes", "move_category_counts", "rename_paths", "index_health", "count_drift", "incremental_counts", "changelog_replay"]
+CHECKED = ["get_link", "get_categories_batch", "list_children_page", "list_links_keyset", "subtree_links_cursor", "subtree_links_all", "ancestors", "breadcrumbs_batch", "slug_paths", "slug_only_index", "resolve_leaf", "browse_path", "postings", "search_and", "search_match_field", "subtree_counts", "category_facet", "tag_chips", "tag_filter", "enrich_links", "dup_urls", "bulk_import_tally", "bulk_status_codes", "bulk_delete_codes", "move_category_counts", "rename_paths", "index_health", "count_drift", "incremental_counts", "changelog_replay", "effects_links", "effects_category_paths", "effects_counts", "bulk_delete_category_codes", "create_submissions"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -83,7 +83,7 @@ def test_mutations(spark, abc):
     rows = links(spark, [(1, 2, "u1", "", "", 0, 0)])
     items = spark.createDataFrame([(0, 2, "n1", "", ""), (1, 2, "n1", "", ""), (2, 9, "n2", "", ""), (3, 0, "u1", "", ""), (4, 2, "x" * 65, "", "")], "pos long, category_id long, url string, title string, description string")
     got = M.create_links(rows, abc, items)
-    assert [r.status for r in got.items.orderBy("pos").collect()] == ["ok", "duplicate_url", "category_not_found", "duplicate_url", "invalid"]
+    assert [r.status for r in got.items.orderBy("pos").collect()] == ["ok", "duplicate_url", "category_not_found", "duplicate_url", "field_too_long"]
     assert got.table.count() == 2 and M.bulk_tally(got).first().first_id == 2
     with pytest.raises(S.DirectoryError):
         M.move_category(abc, 2, 3)
@@ -107,6 +107,54 @@ def test_tsv(spark, tmp_path):
     assert [r.url for r in tsv.import_links(rows, found).collect()] == ["http://a"]
 
 
+def test_numbered(spark):
+    rows = spark.createDataFrame([(p,) for p in (5, 0, 2**20, 3 * 2**33 + 1, 2**33, 7)], "pos long")
+    assert [tuple(r) for r in M.numbered(rows, 10).orderBy("pos").collect()] == [(p, 11 + k) for k, p in enumerate(sorted((5, 0, 2**20, 3 * 2**33 + 1, 2**33, 7)))]
+    assert M.numbered(rows.limit(0)).count() == 0
+
+
+def test_delete_categories_in_order(spark, abc):
+    rows = links(spark, [(1, 3, "u1", "", "", 1, 0), (2, None, "u2", "", "", 1, 0), (3, 4, "u3", "", "", 1, 0)])
+    left, kept, codes = M.delete_categories(abc, rows, [2, 3, 2, 9, 2])
+    assert [r.status for r in codes.orderBy("pos").collect()] == ["has_children", "ok", "ok", "not_found", "not_found"]
+    assert sorted(ids(left)) == [1, 4] and sorted(ids(kept)) == [2, 3]
+    assert M.delete_categories(abc, rows, [])[0].count() == 4
+
+
+def test_move_checks(spark, abc):
+    for category, parent, status in ((9, 1, "category_not_found"), (2, 9, "parent_not_found"), (2, 3, "circular_reference"), (2, 2, "circular_reference")):
+        with pytest.raises(S.DirectoryError) as error:
+            M.move_category(abc, category, parent)
+        assert error.value.status == status
+    assert sorted(r.parent_id for r in M.move_category(abc, 2, 1).collect()) == [0, 1, 1, 2]
+
+
+RECORD = "seq long, op int, record struct<id long, category_id long, title string>"
+
+
+def test_effects_repeat_and_come_late(spark):
+    table = spark.createDataFrame([(1, 5, "a"), (2, 5, None)], "id long, category_id long, title string")
+    log = spark.createDataFrame([(3, 2, (1, 5, "a")), (2, 3, (1, 5, "late")), (4, 4, (2, 6, None)), (4, 4, (2, 6, None)), (5, 1, (3, 6, "c")), (6, 20, (2, 0, None))], RECORD)
+    assert sorted(tuple(r) for r in effects.apply_effects(table, log, "link").collect()) == [(2, 6, None), (3, 6, "c")]
+    assert effects.apply_effects(table, log.limit(0), "link").count() == 2
+    with pytest.raises(Exception, match="unknown op 99"):
+        effects.apply_effects(table, log.withColumn("op", F.lit(99)), "link").collect()
+    cats_ = spark.createDataFrame([(5, 0)], "id long, parent_id long")
+    found = effects.deltas((table, effects.apply_effects(table, log, "link")), (cats_, cats_.limit(0)))
+    assert sorted(tuple(r) for r in found.collect()) == [(0, 0, -1), (5, -2, 0), (6, 2, 0)]
+
+
+def test_effect_stream_equals_batch(spark, tmp_path):
+    table = spark.createDataFrame([(k, 0, "t") for k in range(4)], "id long, category_id long, title string")
+    log = spark.createDataFrame([(n, [3, 4, 2, 1][n % 4], (n * 7 % 6, n, f"t{n}")) for n in range(80)], RECORD)
+    log.repartition(5).write.parquet(str(tmp_path / "log"))
+    sink = effects.EffectSink(spark, str(tmp_path / "state"), table, "link")
+    last = sink.run(str(tmp_path / "log"), RECORD, str(tmp_path / "check"), files_per_batch=2)
+    want = sorted(effects.apply_effects(table, log, "link").collect())
+    assert last > 0 and sorted(effects.rows(sink.state(last)).collect()) == want
+    assert sorted(effects.rows(effects.advance(sink.state(last), log, "link")).collect()) == want
+
+
 def test_stream_equals_replay(spark, tmp_path):
     schema = "seq long, op string, link_id long"
     log = spark.createDataFrame([(i, ["insert", "approve", "delete"][i % 3], i % 5) for i in range(60)], schema)
