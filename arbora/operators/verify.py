@@ -17,13 +17,13 @@ def orphans(categories: DataFrame) -> DataFrame:
     return categories.filter("parent_id != 0").join(known, "parent_id", "left_anti").select("id", "parent_id")
 
 
-def count_drift(categories: DataFrame, links: DataFrame) -> DataFrame:
+def count_drift(categories: DataFrame, links: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """(id, stored, actual, drift) of stored subtree link counts, in ten-thousandths."""
-    fresh = rollup.subtree_counts(categories, links).select("id", F.col("link_count_subtree").alias("actual"))
+    fresh = rollup.subtree_counts(categories, links, tree).select("id", F.col("link_count_subtree").alias("actual"))
     return categories.select("id", F.col("link_count_subtree").alias("stored")).join(fresh, "id").select("id", "stored", "actual", X.drift_bp(F.col("stored"), F.col("actual")).alias("drift"))
 
 
-def index_health(categories: DataFrame, links: DataFrame) -> DataFrame:
+def index_health(categories: DataFrame, links: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """Six rows (name, observed, expected, ok)."""
     def row(name: str, observed: DataFrame, expected: DataFrame) -> DataFrame:
         both = observed.select(F.lit("o").alias("side"), F.col(observed.columns[0]).cast("long").alias("n")).union(expected.select(F.lit("e"), F.col(expected.columns[0]).cast("long")))
@@ -32,7 +32,7 @@ def index_health(categories: DataFrame, links: DataFrame) -> DataFrame:
 
     count = lambda d: d.agg(F.count("*").alias("n"))
     one, none = categories.sparkSession.range(1, 2), categories.sparkSession.range(1)
-    wrong = count_drift(categories, links).filter("drift > 0")
+    wrong = count_drift(categories, links, tree).filter("drift > 0")
     rows = [
         row("cat_by_parent", count(categories.select("parent_id", "id").distinct()), count(categories)),
         row("link_by_category", count(links.select("category_id", "id").distinct()), count(links)),

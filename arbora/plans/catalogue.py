@@ -436,20 +436,23 @@ def single_top(d: Geo) -> DataFrame:
   UNION ALL SELECT 'link_by_url_hash', count(DISTINCT url), count(*), count(DISTINCT url) = count(*) FROM links UNION ALL SELECT 'subtree_counts', 0, 0, true
   UNION ALL SELECT 'no_orphans', 0, 0, true UNION ALL SELECT 'single_top', count(*), 1, count(*) = 1 FROM cats WHERE parent_id = 0""")
 def index_health(d: Geo) -> DataFrame:
-    return V.index_health(lenses.counted(d.cats, d.links), d.links)
+    tree = d.tree
+    return V.index_health(lenses.counted(d.cats, d.links, tree), d.links, tree)
 
 
 @geo("""SELECT id, (link_count_subtree + id % 3)::BIGINT AS stored, link_count_subtree AS actual,
   CASE WHEN link_count_subtree = 0 THEN CASE WHEN id % 3 = 0 THEN 0 ELSE 4294967295 END ELSE (id % 3) * 10000 // link_count_subtree END::BIGINT AS drift FROM counts""")
 def count_drift(d: Geo) -> DataFrame:
-    off = lenses.counted(d.cats, d.links).withColumn("link_count_subtree", F.col("link_count_subtree") + F.col("id") % 3)
-    return V.count_drift(off, d.links)
+    tree = d.tree
+    off = lenses.counted(d.cats, d.links, tree).withColumn("link_count_subtree", F.col("link_count_subtree") + F.col("id") % 3)
+    return V.count_drift(off, d.links, tree)
 
 
 @geo("""SELECT id, link_count, child_count, link_count_subtree, child_count_subtree FROM counts WHERE id % 2 = 1""")
 def recount(d: Geo) -> DataFrame:
-    off = lenses.counted(d.cats, d.links).withColumn("link_count", F.col("link_count") + F.col("id") % 2)
-    return R.changed_counts(off, d.links).select("id", *R.COUNTS)
+    tree = d.tree
+    off = lenses.counted(d.cats, d.links, tree).withColumn("link_count", F.col("link_count") + F.col("id") % 2)
+    return R.changed_counts(off, d.links, tree).select("id", *R.COUNTS)
 
 
 @geo("""SELECT id, link_count, child_count, link_count_subtree, child_count_subtree FROM counts""")

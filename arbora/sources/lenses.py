@@ -66,9 +66,9 @@ def text_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).cast("long").alias("id"), F.sha2("text", 256).alias("url"), F.concat_ws("/", "lang", "source").alias("title"), F.col("text").alias("description"))
 
 
-def counted(categories: DataFrame, links: DataFrame) -> DataFrame:
+def counted(categories: DataFrame, links: DataFrame, tree: DataFrame | None = None) -> DataFrame:
     """Categories with their four counts."""
-    return categories.join(rollup.subtree_counts(categories, links), "id")
+    return categories.join(rollup.subtree_counts(categories, links, tree), "id")
 
 
 OPS = {"signup": "insert", "view": "text_update", "click": "recategorize", "purchase": "approve", "error": "delete"}
