@@ -14,8 +14,8 @@ def closure(categories: DataFrame, levels: int = S.MAX_DEPTH) -> DataFrame:
     One join of the frontier with the parent edges for each level of the tree, so a tree of depth d costs d joins on
     narrow rows. A cycle ends at the first category that is met again; of several ways the shortest counts.
     """
-    edges = categories.select(F.col("id").alias("child"), F.col("parent_id").alias("parent"))
-    frontier = categories.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("depth"), F.array("id").alias("seen"))
+    edges = categories.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).persist()
+    frontier = edges.select(F.col("child").alias("ancestor"), F.col("child").alias("descendant"), F.lit(0).alias("depth"), F.array("child").alias("seen"))
     parts = [frontier]
     for depth in range(1, levels):
         step = frontier.join(edges, F.col("ancestor") == F.col("child")).filter("parent != 0 and not array_contains(seen, parent)")
@@ -26,7 +26,7 @@ def closure(categories: DataFrame, levels: int = S.MAX_DEPTH) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    known = categories.select(F.col("id").alias("ancestor"))
+    known = edges.select(F.col("child").alias("ancestor"))
     return out.drop("seen").groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")).join(known, "ancestor", "left_semi")
 
 

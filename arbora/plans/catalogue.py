@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,20 +52,32 @@ _SQL: dict[str, str] = {}
 
 class Geo:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = spark
-        self.cats = lenses.geo_categories(spark, sf_dir)
-        self.links = lenses.geo_links(spark, sf_dir)
+        self.spark, self.tables = spark, lenses.Tables(spark, sf_dir)
 
-    @property
+    @cached_property
+    def cats(self) -> DataFrame:
+        return lenses.geo_categories(self.tables)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return lenses.geo_links(self.tables)
+
+    @cached_property
     def tree(self) -> DataFrame:
         return H.closure(self.cats)
 
 
 class Catalog:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self.spark = spark
-        self.cats = lenses.catalog_categories(spark, sf_dir)
-        self.links = lenses.catalog_links(spark, sf_dir)
+        self.spark, self.tables = spark, lenses.Tables(spark, sf_dir)
+
+    @cached_property
+    def cats(self) -> DataFrame:
+        return lenses.catalog_categories(self.tables)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return lenses.catalog_links(self.tables)
 
 
 def _query(lens: type, base: str, sql: str | None) -> Callable[[Callable], Callable]:
@@ -331,7 +344,7 @@ def direct_or_subtree(d: Geo) -> DataFrame:
 
 
 def dup_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lenses.text_links(spark, sf_dir)
+    rows = lenses.text_links(lenses.Tables(spark, sf_dir))
     return rows.groupBy("url").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).filter("n > 1")
 
 
@@ -536,7 +549,7 @@ def create_submissions(d: Geo) -> DataFrame:
 
 
 def changelog_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changelog.replay(lenses.change_log(spark, sf_dir))
+    return changelog.replay(lenses.change_log(lenses.Tables(spark, sf_dir)))
 
 
 _QUERIES["changelog_replay"] = changelog_replay
