@@ -23,10 +23,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arbora.llm.store import saved
+from arbora.llm.store import drop, new_path, saved
 from arbora.llm.words import hash_words, mix, text_chunks, window_hashes
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -70,7 +70,7 @@ def band_keys(minimum: np.ndarray) -> np.ndarray:
 
 
 def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document: its class key (null without words), band keys and one-byte MinHash values."""
+    """Per row: its id, text hash, class key (null without words), band keys and one-byte MinHash values."""
     for batch in batches:
         for a, b, data, offsets in text_chunks(batch.column(1)):
             words, places = hash_words(data, offsets)
@@ -83,6 +83,7 @@ def _signatures(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands, values = iter(band_keys(minimum).view(np.int64)), iter(minimum.astype(np.uint8))
             yield pa.RecordBatch.from_pydict({
                 "doc": batch.column(0).slice(a, b - a),
+                "raw": batch.column(2).slice(a, b - a),
                 "node": pa.array(text_keys(words, places).view(np.int64), mask=empty),
                 "bands": pa.array([None if e else next(bands) for e in empty], pa.list_(pa.int64())),
                 "minhash": pa.array([None if e else next(values).tobytes() for e in empty], pa.binary()),
@@ -167,13 +168,18 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, label): the least node of each connected component of (u, v), by alternating large and small stars.
 
     Each round links every node's larger neighbours, then its smaller ones, to its least neighbour, and writes the
-    edges to the shared folder; it ends when a round leaves them as they were. Self loops and repeated edges do no harm;
-    no edges give no rows.
+    edges to the shared folder in place of the round before; it ends when a round leaves them as they were. The centre
+    of a star is a hot key: its least neighbour is found by partial aggregation, and the join that tells it to all
+    neighbours has an exchange of its own on either side, so that the optimizer splits the centre's partition. Self
+    loops and repeated edges do no harm; no edges give no rows.
     """
+    spark = edges.sparkSession
+
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("low")) if large else both.groupBy("u").agg(F.min("v").alias("low"))
-        joined = both.join(low, "u")
+        # an expression hides that the sums are dealt out by u already: a side without an exchange can't be split
+        joined = both.join(low.select(F.bitwise_not(F.bitwise_not("u")).alias("u"), "low"), "u")
         if large:
             out = joined.filter("v > u").select(F.col("v").alias("u"), F.col("low").alias("v"))
         else:
@@ -183,10 +189,17 @@ def components(edges: DataFrame) -> DataFrame:
     def state(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first())
 
-    now = saved(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    def written(e: DataFrame) -> tuple[str, DataFrame]:
+        path = new_path(spark, "edges")
+        e.write.parquet(path)
+        return path, spark.read.schema("u long, v long").parquet(path)
+
+    path, now = written(edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = state(now)
     while seen[0]:
-        now = saved(star(star(now, True), False), "edges")
+        old = path
+        path, now = written(star(star(now, True), False))
+        drop(spark, old)
         if (after := state(now)) == seen:
             break
         seen = after
@@ -201,6 +214,7 @@ def _shingle_sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         for a, b, data, offsets in text_chunks(batch.column(3)):
             words, places = hash_words(data, offsets)
             right = np.flatnonzero(text_keys(words, places).view(np.int64) == node[a:b])
+            right = right[np.unique(node[a:b][right], return_index=True)[1]]  # of rows that repeat id and text one is enough
             hashes, at = shingles(words, places, SHINGLE)
             sets = [np.unique(hashes[at[k] : at[k + 1]]) for k in right]
             cols = [batch.column(k).take(pa.array(right + a)) for k in range(3)]
@@ -264,22 +278,25 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, r
     return out
 
 
-def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: doc (its id), class_id, n_links, n_text_links, text_class.
+def _raw(text: F.Column) -> F.Column:
+    """Hash of a text as it stands. With the id it names a row; rows alike in both are interchangeable."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
 
-    class_id: the least id of the documents joined to it through links (its own if none); n_links: other documents whose
-    shingle set is as similar as the threshold; n_text_links: the same among text classes; text_class: the least id of
-    the documents with the same sequence of words. Sequences of words and shingles are compared by 64-bit hashes.
 
-    Null, empty and word-less texts have no links; their class_id and text_class are their own id. A text of fewer than
-    five words is one shingle. A null id counts as the least 64-bit integer and comes back as null. Rows that repeat an
-    id keep a row each. An empty table gives an empty result. Other columns of docs are ignored.
+def _key(id_: F.Column) -> F.Column:
+    return F.coalesce(id_.cast("long"), F.lit(NONE))
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, texts): each row's doc, raw and node; and of every text class that has copies or links: node, its first
+    row (rep, rep_raw), its near-duplicate class' first row (class_id, class_raw), text_links, doc_links.
+
+    Rows are ordered by id, then by text hash.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NONE)).alias("doc"), F.col(text_col).cast("string").alias("text"))
-    signed = saved(rows.mapInArrow(_signatures, "doc long, node long, bands array<long>, minhash binary"), "signatures")
-    reps = signed.filter("node is not null").groupBy("node").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("minhash").alias("minhash"))
-    reps = saved(reps, "classes")
+    rows = docs.select(_key(F.col(id_col)).alias("doc"), F.col(text_col).cast("string").alias("text"), _raw(F.col(text_col)).alias("raw"))
+    signed = saved(rows.mapInArrow(_signatures, "doc long, raw long, node long, bands array<long>, minhash binary"), "signatures")
+    reps = signed.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc", "raw")).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("minhash").alias("minhash"))
+    reps = saved(reps.select("node", F.col("rep.doc").alias("rep"), F.col("rep.raw").alias("rep_raw"), "copies", "bands", "minhash"), "classes")
 
     keyed = reps.select("node", F.explode("bands").alias("band"))
     sizes = keyed.groupBy("band").agg(F.count("*").alias("size")).filter("size > 1")
@@ -287,9 +304,10 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     grouped = _blocks(met, F.ceil(F.col("size") / BUCKET), "band").agg(F.collect_list(F.struct("node", "minhash")).alias("members"))
     edges = grouped.select("members").mapInArrow(_prune, "u long, v long")
 
-    wanted = saved(components(edges).join(reps.select("node", "rep", "copies"), "node"), "wanted")
+    named = reps.select("node", "rep", "rep_raw", "copies")
+    wanted = saved(components(edges).join(named, "node"), "wanted")
     chosen = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = rows.join(chosen, F.col("doc") == F.col("rep")).select("node", "label", "copies", "text")
+    found = rows.join(chosen, (F.col("doc") == F.col("rep")) & (F.col("raw") == F.col("rep_raw"))).select("node", "label", "copies", "text")
     sets = saved(found.mapInArrow(_shingle_sets, "node long, label long, copies long, n long, shingles binary"), "shingles")
     mass = sets.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("size"))
     grouped = _blocks(sets.join(mass, "label"), F.col("size"), "label").agg(F.collect_list(F.struct("node", "copies", "block", "shingles")).alias("members"))
@@ -297,11 +315,26 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     links = checked.groupBy("node").agg(F.sum("text_links").alias("text_links"), F.sum("doc_links").alias("doc_links"))
     joined = components(checked.select(F.col("node").alias("u"), F.col("low").alias("v")))
-    labelled = reps.select("node", "rep", "copies").join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    heads = labelled.groupBy("label").agg(F.min("rep").alias("class_id"))
-    result = labelled.join(heads, "label").join(links, "node", "left")
-    result = result.select("node", "rep", "class_id", F.coalesce("text_links", F.lit(0)).alias("text_links"), (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("doc_links"))
-    out = signed.select("doc", "node").join(result, "node", "left")
+    labelled = named.join(joined, "node", "left").filter("label is not null or copies > 1").withColumn("label", F.coalesce("label", "node"))
+    heads = labelled.groupBy("label").agg(F.min(F.struct("rep", "rep_raw")).alias("head"))
+    texts = labelled.join(heads, "label").join(links, "node", "left")
+    texts = texts.select("node", "rep", "rep_raw", F.col("head.rep").alias("class_id"), F.col("head.rep_raw").alias("class_raw"), F.coalesce("text_links", F.lit(0)).alias("text_links"), (F.coalesce("doc_links", F.lit(0)) + F.col("copies") - 1).alias("doc_links"))
+    return signed.select("doc", "raw", "node"), saved(texts, "texts")  # files, not a join: so a hot text's rows can be split
+
+
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs: doc (its id), class_id, n_links, n_text_links, text_class.
+
+    class_id: the least id of the documents joined to it through links (its own if none); n_links: other documents whose
+    shingle set is as similar as the threshold; n_text_links: the same among text classes; text_class: the least id of
+    the documents with the same sequence of words. Sequences of words and shingles are compared by 64-bit hashes.
+
+    Null, empty and word-less texts have no links; their class_id and text_class are their own id. A text of fewer than
+    five words is one shingle. A null id counts as the least 64-bit integer and comes back as null. Rows that repeat an
+    id keep a row each. An empty table gives an empty result. Other columns of docs are ignored.
+    """
+    rows, texts = _classes(docs, id_col, text_col)
+    out = rows.join(texts, "node", "left")
     shown = lambda c: F.when(c != NONE, c)
     return out.select(
         shown(F.col("doc")).alias("doc"),
@@ -320,16 +353,19 @@ def _blocks(df: DataFrame, blocks: F.Column, group: str):  # noqa: ANN202
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, of which one of each near-duplicate class stays: that with the least id.
+    """The rows of docs, all columns, of which one of each near-duplicate class stays: the first by id, then by text hash.
 
-    Texts without words and rows with a null id stay. Of rows that repeat the least id and its text one stays.
+    What goes is decided by row, that is by id and text: other texts under the same id aren't touched. A null id counts
+    as the least one. Texts without words stay. Of rows that repeat both id and text, and aren't without words, one
+    stays, whatever their other columns hold.
     """
-    return _first_of_class(docs, similarity_links(docs, id_col, text_col), id_col, text_col)
-
-
-def _first_of_class(docs: DataFrame, links: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    drop = links.filter("class_id != doc").select(F.col("doc").alias("__join_doc")).distinct()
-    kept = docs.join(drop, F.col(id_col) == F.col("__join_doc"), "left_anti")
-    again = links.filter("class_id = doc and n_links > 0").groupBy("doc").count().filter("count > 1").select(F.col("doc").alias("__join_doc"))
-    repeated = kept.join(again, F.col(id_col) == F.col("__join_doc"), "left_semi").dropDuplicates([id_col])
-    return kept.join(again, F.col(id_col) == F.col("__join_doc"), "left_anti").unionByName(repeated)
+    rows, texts = _classes(docs, id_col, text_col)
+    placed = rows.join(texts.select("node", "class_id", "class_raw"), "node")
+    first = (F.col("doc") == F.col("class_id")) & (F.col("raw") == F.col("class_raw"))
+    marked = placed.groupBy("doc", "raw").agg(F.first(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1")
+    marked = marked.select(F.col("doc").alias("__join_doc"), F.col("raw").alias("__join_raw"), F.col("first").alias("__join_first"))
+    same = (_key(F.col(id_col)) == F.col("__join_doc")) & (_raw(F.col(text_col)) == F.col("__join_raw"))
+    kept = docs.join(marked, same, "left_anti")
+    again = docs.join(marked.filter("__join_first"), same, "left_semi")  # the few rows that come again, one of each
+    once = again.withColumns({"__join_doc": _key(F.col(id_col)), "__join_raw": _raw(F.col(text_col))}).dropDuplicates(["__join_doc", "__join_raw"])
+    return kept.unionByName(once.drop("__join_doc", "__join_raw"))

@@ -1,31 +1,12 @@
-"""Tables written to the folder that driver and executors share, to cut lineage."""
+"""The tables that this subpackage's queries read; see :mod:`arbora.store` for those it writes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from arbora.store import drop, exists, names, new_path, saved, scratch, shared_dir, write_text
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it is unset (local tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="arbora-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/arbora/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: later jobs start from files, not from lineage."""
-    spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["drop", "exists", "names", "new_path", "saved", "scratch", "shared_dir", "table", "write_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
