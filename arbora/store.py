@@ -77,12 +77,6 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         raise OSError(f"can't write {path}")
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Delete the files of a saved table that nothing reads any more."""
-    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        drop(df.sparkSession, path)
-
-
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[str]:
     """What is saved within goes to one folder, deleted at the end. The results must have been written by then."""
