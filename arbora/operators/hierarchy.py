@@ -6,40 +6,72 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora import schema as S
+from arbora.store import drop, new_path
 
 
-def closure(categories: DataFrame, levels: int = S.MAX_DEPTH) -> DataFrame:
-    """(ancestor, descendant, depth) of all pairs, each category with itself at depth 0; at most ``levels`` deep.
+def ancestry(categories: DataFrame) -> DataFrame:
+    """(id, up): each category and its ancestors, from itself to its root, however deep the tree is.
 
-    One join of the frontier with the parent edges for each level of the tree, so a tree of depth d costs d joins on
-    narrow rows. A cycle ends at the first category that is met again; of several ways the shortest counts.
+    The known part of the paths doubles in each pass: a path that isn't at its end yet is continued by the path of its
+    last category. So a tree of depth d takes log2(d) joins of one row for each category. Two passes are one plan; then
+    the paths are written to the shared folder in place of the last ones, so no plan grows with the depth. A path ends
+    at a category without a known parent, and before it would meet a category again; of several parents of one id the
+    lowest counts.
     """
-    edges = categories.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).persist()
-    frontier = edges.select(F.col("child").alias("ancestor"), F.col("child").alias("descendant"), F.lit(0).alias("depth"), F.array("child").alias("seen"))
-    parts = [frontier]
-    for depth in range(1, levels):
-        step = frontier.join(edges, F.col("ancestor") == F.col("child")).filter("parent != 0 and not array_contains(seen, parent)")
-        frontier = step.select(F.col("parent").alias("ancestor"), "descendant", F.lit(depth).alias("depth"), F.concat("seen", F.array("parent")).alias("seen")).persist()
-        if frontier.isEmpty():
-            break
-        parts.append(frontier)
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    known = edges.select(F.col("child").alias("ancestor"))
-    return out.drop("seen").groupBy("ancestor", "descendant").agg(F.min("depth").alias("depth")).join(known, "ancestor", "left_semi")
+    spark = categories.sparkSession
+    own = categories.filter("id is not null").groupBy("id").agg(F.min(F.when(F.col("parent_id") != 0, F.col("parent_id"))).alias("parent"))
+    known = own.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
+    first = own.join(known, "parent", "left").select("id", F.array_distinct(F.when(F.col("known"), F.array("id", "parent")).otherwise(F.array("id"))).alias("up"))
+
+    def longer(rows: DataFrame, full: int) -> DataFrame:
+        more = rows.select(F.col("id").alias("last"), F.col("up").alias("more"))
+        going = rows.filter(F.size("up") == full).join(more, F.element_at("up", -1) == F.col("last"))
+        return rows.filter(F.size("up") < full).unionByName(going.select("id", F.array_distinct(F.concat("up", "more")).alias("up")))
+
+    path, full = new_path(spark, "ancestry"), 2
+    first.write.parquet(path)
+    while True:
+        rows, old = spark.read.schema(first.schema).parquet(path), path
+        if rows.filter(F.size("up") == full).isEmpty():
+            return rows
+        path = new_path(spark, "ancestry")
+        longer(longer(rows, full), 2 * full - 1).write.parquet(path)
+        drop(spark, old)
+        full = 4 * full - 3
+
+
+def closure(categories: DataFrame) -> DataFrame:
+    """(ancestor, descendant, depth) of all pairs, each category with itself at depth 0."""
+    return ancestry(categories).select(F.posexplode("up").alias("depth", "ancestor"), F.col("id").alias("descendant")).select("ancestor", "descendant", "depth")
 
 
 def descendants(edges: DataFrame, root: int) -> DataFrame:
-    """Ids of the root and all below it, from (parent_id, child_id) edges; cycles are followed once."""
+    """Ids of the root and all below it, from (parent_id, child_id) edges; cycles are followed once.
+
+    What is found goes twice as deep in each pass: ``jump`` holds the pairs at a distance of 2^k, ``found`` what is
+    nearer to the root than that. Both are written to the shared folder in place of the last ones.
+    """
     spark = edges.sparkSession
-    edges = edges.select(F.col("parent_id").alias("p"), F.col("child_id").alias("c"))
-    found = frontier = spark.range(root, root + 1)
+
+    def written(rows: DataFrame, name: str) -> tuple[str, DataFrame]:
+        path = new_path(spark, name)
+        rows.write.parquet(path)
+        return path, spark.read.schema(rows.schema).parquet(path)
+
+    jump_at, jump = written(edges.select(F.col("parent_id").cast("long").alias("a"), F.col("child_id").cast("long").alias("b")).filter("a is not null and b is not null").distinct(), "jumps")
+    found_at, found = written(spark.range(root, root + 1), "found")
+    n = 1
     while True:
-        frontier = frontier.join(edges, F.col("id") == F.col("p"), "inner").select(F.col("c").alias("id")).distinct().join(found, "id", "left_anti").persist()
-        if frontier.isEmpty():
+        old = (jump_at, found_at)
+        found_at, found = written(found.union(found.join(jump, F.col("id") == F.col("a"), "inner").select("b")).distinct(), "found")
+        if (now := found.count()) == n:
+            drop(spark, jump_at)
+            drop(spark, old[1])
             return found
-        found = found.union(frontier)
+        n = now
+        jump_at, jump = written(jump.alias("x").join(jump.alias("y"), F.col("x.b") == F.col("y.a")).select("x.a", "y.b").distinct(), "jumps")
+        for path in old:
+            drop(spark, path)
 
 
 def edges_of(categories: DataFrame) -> DataFrame:
@@ -83,7 +115,7 @@ def resolve(paths: DataFrame, path: str) -> DataFrame:
 def category_path(tree: DataFrame, category: int) -> DataFrame:
     """(pos, id) from the root to the category; a missing category gives itself. Over 64 ids is an error."""
     rows = tree.filter(F.col("descendant") == category).select(F.col("ancestor").alias("id"), "depth")
-    if rows.filter(F.col("depth") >= S.MAX_DEPTH - 1).limit(1).count():
+    if not rows.filter(F.col("depth") >= S.MAX_DEPTH).isEmpty():
         raise S.DirectoryError("path_too_deep")
     own = tree.sparkSession.range(category, category + 1).select("id", F.lit(0).alias("depth"))
     both = rows.unionByName(own).groupBy("id").agg(F.min("depth").alias("depth"))
@@ -114,7 +146,16 @@ def breadcrumbs(categories: DataFrame, ids: list[int], tree: DataFrame | None =
 
 def is_cycle(tree: DataFrame, category: int, parent: int) -> bool:
     """Moving the category under the parent would make it its own ancestor."""
-    return bool(tree.filter((F.col("ancestor") == category) & (F.col("descendant") == parent)).limit(1).count())
+    return not tree.filter((F.col("ancestor") == category) & (F.col("descendant") == parent)).isEmpty()
+
+
+def check_move(tree: DataFrame, category: int, parent: int) -> None:
+    """The way up from the new parent must end within ``MAX_HOPS`` categories and not meet the moved one."""
+    up = {r.ancestor: r.depth for r in tree.filter((F.col("descendant") == parent) & ((F.col("ancestor") == category) | (F.col("depth") == S.MAX_HOPS))).collect()}
+    if up.get(category, S.MAX_HOPS) < S.MAX_HOPS or category == parent:
+        raise S.DirectoryError("circular_reference")
+    if up:
+        raise S.DirectoryError("path_too_deep")
 
 
 def renamed_paths(paths: DataFrame, old_prefix: str, new_prefix: str) -> DataFrame:

@@ -123,11 +123,8 @@ def move_category(categories: DataFrame, category: int, parent: int, tree: DataF
         raise S.DirectoryError("category_not_found")
     if parent and categories.filter(F.col("id") == parent).isEmpty():
         raise S.DirectoryError("parent_not_found")
-    tree = H.closure(categories, S.MAX_HOPS) if tree is None else tree
-    if category == parent or H.is_cycle(tree, category, parent):
-        raise S.DirectoryError("circular_reference")
-    if tree.filter((F.col("descendant") == parent) & (F.col("depth") >= S.MAX_HOPS - 1)).limit(1).count():
-        raise S.DirectoryError("path_too_deep")
+    if parent:
+        H.check_move(H.closure(categories) if tree is None else tree, category, parent)
     return categories.withColumn("parent_id", F.when(F.col("id") == category, F.lit(parent).cast("long")).otherwise(F.col("parent_id")))
 
 

@@ -6,27 +6,36 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from arbora.operators.mutate import numbered
+from arbora.store import saved
 
 
 def read_tsv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows with ``pos``, their place in the input."""
+    """Rows with ``pos``, their place in the input: files in the order of their paths, rows as they stand in a file.
+
+    Spark packs files into tasks by size, so a row's number within its task orders only the rows of one file split; the
+    splits, one row each, are numbered by path and offset.
+    """
     rows = spark.read.csv(path, sep="\t", schema=", ".join(f"{c} string" for c in columns), quote="")
-    return rows.na.fill("").withColumn("pos", F.monotonically_increasing_id())
+    rows = rows.na.fill("").select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"))
+    splits = rows.select("__file", "__block").distinct()
+    splits = splits.select("__file", "__block", F.row_number().over(Window.orderBy("__file", "__block")).cast("long").alias("__split"))
+    placed = rows.withColumn("__row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)).join(splits, ["__file", "__block"])
+    return placed.select(*columns, (F.shiftleft("__split", 33) + F.col("__row")).alias("pos"))
 
 
 def import_categories(rows: DataFrame) -> DataFrame:
     """(id, parent_id, name, slug, path) from (pos, path, parent_path, name, slug), under a seeded root ``Top``.
 
     A row counts if its path, name and slug aren't empty and its parent is ``Top`` or a counting row above it; of equal
-    paths the first counts. Each pass settles another level.
+    paths the first counts. Each pass settles another level and writes it to the shared folder.
     """
     spark = rows.sparkSession
     rows = rows.filter("path != '' and name != '' and slug != ''").withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy("pos"))).filter("rn = 1 and path != 'Top'").drop("rn")
-    seen = spark.createDataFrame([("Top", -1)], "path string, pos long")
-    frontier = seen
+    rows = saved(rows, "rows")
+    seen = frontier = spark.createDataFrame([("Top", -1)], "path string, pos long")
     while True:
         parents = frontier.select(F.col("path").alias("parent_path"), F.col("pos").alias("parent_pos"))
-        frontier = rows.join(parents, "parent_path").filter("parent_pos < pos").select("path", "pos").persist()
+        frontier = saved(rows.join(parents, "parent_path").filter("parent_pos < pos").select("path", "pos"), "level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
