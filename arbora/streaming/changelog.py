@@ -5,53 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arbora.streaming import deltas
+
 KEY, LAST = "link_id", "last_seq"
+STATE = f"{KEY} long, {LAST} long, last_op string, changes long"
 
 
 def replay(log: DataFrame) -> DataFrame:
     """(link_id, last_seq, last_op, changes): per link its latest change and how many there were.
 
     The latest is a maximum over (seq, op), so partial results merge in any order and the hot link of a log costs one
-    row for each task before the shuffle. A repeated change (equal seq) counts once.
+    row for each task before the shuffle. A repeated change (equal seq) counts once, however late it comes. ``log`` may
+    be a stream: then changes are told apart and summed in keyed state, and each batch gives the links that it changed.
     """
     once = log.dropDuplicates(["seq"])
     return once.groupBy(KEY).agg(F.max(F.struct("seq", "op")).alias("m"), F.count("*").alias("changes")).select(KEY, F.col("m.seq").alias(LAST), F.col("m.op").alias("last_op"), "changes")
 
 
-def live(state: DataFrame) -> DataFrame:
-    return state.filter("last_op != 'delete'")
-
-
-def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
-    """State after a micro-batch: changes at or before a link's last seq were applied before and are dropped."""
-    old = state.select(KEY, F.col(LAST).alias("old_seq"))
-    fresh = replay(batch.join(old, KEY, "left").filter("old_seq is null or seq > old_seq").drop("old_seq"))
-    both = state.unionByName(fresh)
-    return both.groupBy(KEY).agg(F.max(F.struct(LAST, "last_op")).alias("m"), F.sum("changes").alias("changes")).select(KEY, F.col(f"m.{LAST}").alias(LAST), F.col("m.last_op").alias("last_op"), "changes")
-
-
 class ChangeLogSink:
-    """A ``foreachBatch`` sink with a versioned state: batch n writes version n from version n - 1.
-
-    A batch that comes again writes the same version from the same predecessor, so retries change nothing.
-    """
+    """Keeps :func:`replay` of a growing log as a table in ``path``; a batch writes only the links that it changes."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
-
-    def _version(self, n: int) -> str:
-        return f"{self.path}/state={n}"
+        self.spark, self.table = spark, deltas.DeltaTable(spark, path, STATE, KEY)
 
     def state(self, n: int) -> DataFrame:
-        schema = f"{KEY} long, {LAST} long, last_op string, changes long"
-        return self.spark.createDataFrame([], schema) if n < 0 else self.spark.read.schema(schema).parquet(self._version(n))
-
-    def __call__(self, batch: DataFrame, n: int) -> None:
-        merge(self.state(n - 1), batch).write.mode("overwrite").parquet(self._version(n))
+        return self.table.rows(n)
 
     def run(self, log_dir: str, schema: str, checkpoint: str, files_per_batch: int = 1) -> int:
-        """Reads all of a folder of Parquet log files; returns the last version."""
+        """Reads all of a folder of Parquet log files that is new; returns the last version."""
         log = self.spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(log_dir)
-        query = log.writeStream.foreachBatch(self).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-        query.awaitTermination()
-        return max((p["batchId"] for p in query.recentProgress), default=-1)
+        return deltas.run(replay(log), self.table, checkpoint)

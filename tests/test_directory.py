@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from arbora.operators import verify as V
 from arbora.plans import catalogue
 from arbora.sources import tsv
 from arbora.streaming import changelog, effects
+from arbora.streaming.deltas import DeltaTable
 
 CHECKED = ["get_link", "get_categories_batch", "list_children_page", "list_links_keyset", "subtree_links_cursor", "subtree_links_all", "ancestors", "breadcrumbs_batch", "slug_paths", "slug_only_index", "resolve_leaf", "browse_path", "postings", "search_and", "search_match_field", "subtree_counts", "category_facet", "tag_chips", "tag_filter", "enrich_links", "dup_urls", "bulk_import_tally", "bulk_status_codes", "bulk_delete_codes", "move_category_counts", "rename_paths", "index_health", "count_drift", "incremental_counts", "changelog_replay", "effects_links", "effects_category_paths", "effects_counts", "bulk_delete_category_codes", "create_submissions"]
 
@@ -38,6 +41,50 @@ def ids(df):
     return [r.id for r in df.collect()]
 
 
+@pytest.mark.parametrize("n", [64, 70, 300])
+def test_deep_trees(spark, n):
+    """A chain: the closure has all pairs, and counts and listings reach the whole depth; the paths' own limits hold."""
+    chain = cats(spark, [(k, k - 1, f"C{k}") for k in range(1, n + 1)])
+    tree = H.closure(chain)
+    assert {(r.ancestor, r.descendant, r.depth) for r in tree.collect()} == {(a, d, d - a) for d in range(1, n + 1) for a in range(1, d + 1)}
+    assert sorted(ids(H.descendants(H.edges_of(chain), 2))) == list(range(2, n + 1))
+    rows = links(spark, [(1, n, "u", "", "", 1, 0)])
+    assert {r.link_count_subtree for r in R.subtree_counts(chain, rows, tree).collect()} == {1}
+    assert ids(L.subtree_links(rows, tree, 1)) == [1]
+    assert len(H.ancestors(tree, n).collect()) == min(64, n - 1)
+    assert len(H.category_path(tree, 64).collect()) == 64
+    if n > 64:
+        with pytest.raises(S.DirectoryError) as error:
+            H.category_path(tree, 65)
+        assert error.value.status == "path_too_deep"
+    if n > 256:
+        loose = chain.union(cats(spark, [(1000, 0, "X")]))
+        assert M.move_category(loose, 1000, 256).filter("id = 1000").first().parent_id == 256
+        with pytest.raises(S.DirectoryError) as error:
+            M.move_category(loose, 1000, 257)
+        assert error.value.status == "path_too_deep"
+
+
+def test_closure_of_any_graph(spark):
+    """Cycles, orphans, own parents, null parents, repeated rows and a random forest, against a walk in Python."""
+    rng = random.Random(1)
+    rows = [(1, 3), (2, 1), (3, 2), (4, 3), (5, 4), (6, 99), (7, 0), (8, None), (9, 9), (9, 9)] + [(k, rng.choice([0, 77, rng.randrange(10, 90)])) for k in range(10, 90)]
+    parent = {k: p for k, p in rows}
+    want = set()
+    for k in parent:
+        at, depth, seen = k, 0, []
+        while at in parent and at not in seen:
+            want.add((at, k, depth))
+            seen.append(at)
+            at, depth = parent[at], depth + 1
+    table = spark.createDataFrame(rows, "id long, parent_id long")
+    got = H.closure(table).collect()
+    assert {(r.ancestor, r.descendant, r.depth) for r in got} == want and len(got) == len(want)
+    for root in (1, 10, 77):
+        assert sorted(ids(H.descendants(H.edges_of(table), root))) == sorted({d for a, d, _ in want if a == root})
+    assert H.closure(table.limit(0)).count() == 0
+
+
 def test_descendants_and_cycles(spark):
     edges = spark.createDataFrame([(1, 2), (1, 3), (2, 4), (2, 5)], "parent_id long, child_id long")
     assert sorted(ids(H.descendants(edges, 1))) == [1, 2, 3, 4, 5]
@@ -145,21 +192,71 @@ def test_effects_repeat_and_come_late(spark):
 
 
 def test_effect_stream_equals_batch(spark, tmp_path):
+    """One file a batch, shuffled, some effects twice, then a restart without and one with new effects."""
     table = spark.createDataFrame([(k, 0, "t") for k in range(4)], "id long, category_id long, title string")
-    log = spark.createDataFrame([(n, [3, 4, 2, 1][n % 4], (n * 7 % 6, n, f"t{n}")) for n in range(80)], RECORD)
-    log.repartition(5).write.parquet(str(tmp_path / "log"))
+    effects_ = [(n, [3, 4, 2, 1][n % 4], (n * 7 % 6, n, f"t{n}")) for n in range(80)]
+    random.Random(3).shuffle(effects_)
+    log_dir, sink = str(tmp_path / "log"), effects.EffectSink(spark, str(tmp_path / "state"), table, "link")
+    assert sorted(effects.rows(sink.state(-1)).collect()) == sorted(table.collect())
+    log = spark.createDataFrame(effects_[:60] + effects_[5:9], RECORD)
+    log.repartition(5).write.parquet(log_dir)
+    last = sink.run(log_dir, RECORD, str(tmp_path / "check"))
+    assert last >= 3 and sorted(effects.rows(sink.state(last)).collect()) == sorted(effects.apply_effects(table, log, "link").collect())
     sink = effects.EffectSink(spark, str(tmp_path / "state"), table, "link")
-    last = sink.run(str(tmp_path / "log"), RECORD, str(tmp_path / "check"), files_per_batch=2)
-    want = sorted(effects.apply_effects(table, log, "link").collect())
-    assert last > 0 and sorted(effects.rows(sink.state(last)).collect()) == want
-    assert sorted(effects.rows(effects.advance(sink.state(last), log, "link")).collect()) == want
+    assert sink.run(log_dir, RECORD, str(tmp_path / "check")) == last
+    more = spark.createDataFrame(effects_[60:], RECORD)
+    more.coalesce(1).write.mode("append").parquet(log_dir)
+    again, want = sink.run(log_dir, RECORD, str(tmp_path / "check")), sorted(effects.apply_effects(table, log.union(more), "link").collect())
+    assert again == last + 1 and sorted(effects.rows(sink.state(again)).collect()) == want
+    assert sorted(effects.rows(effects.advance(sink.state(again), log, "link")).collect()) == want
 
 
 def test_stream_equals_replay(spark, tmp_path):
+    """One file a batch: late and repeated changes count once, also after a restart; a strange checkpoint is refused."""
     schema = "seq long, op string, link_id long"
-    log = spark.createDataFrame([(i, ["insert", "approve", "delete"][i % 3], i % 5) for i in range(60)], schema)
-    log.repartition(4).write.parquet(str(tmp_path / "log"))
+    changes_ = [(5, "approve", 9), (2, "insert", 9), (3, "delete", 9), (3, "delete", 9), *((i, ["insert", "approve", "delete"][i % 3], i % 5) for i in range(10, 60))]
+    log_dir = str(tmp_path / "log")
+    for k in range(0, len(changes_), 9):
+        spark.createDataFrame(changes_[k : k + 9][::-1], schema).coalesce(1).write.mode("append").parquet(log_dir)
+    spark.createDataFrame(changes_[:20], schema).coalesce(1).write.mode("append").parquet(log_dir)
+    sink = changelog.ChangeLogSink(spark, str(tmp_path / "state"))
+    last = sink.run(log_dir, schema, str(tmp_path / "check"))
+    want = sorted(changelog.replay(spark.read.parquet(log_dir)).collect())
+    assert last >= 5 and sorted(sink.state(last).collect()) == want and {r.link_id: r.changes for r in want}[9] == 3
     sink = changelog.ChangeLogSink(spark, str(tmp_path / "state"))
-    last = sink.run(str(tmp_path / "log"), schema, str(tmp_path / "check"), files_per_batch=4)
-    assert sorted(sink.state(last).collect()) == sorted(changelog.replay(log).collect())
-    assert sorted(changelog.merge(sink.state(last), log).collect()) == sorted(sink.state(last).collect())
+    assert sink.run(log_dir, schema, str(tmp_path / "check")) == last
+    spark.createDataFrame([(1, "insert", 9), (5, "approve", 9)], schema).coalesce(1).write.mode("append").parquet(log_dir)
+    last = sink.run(log_dir, schema, str(tmp_path / "check"))
+    assert {r.link_id: (r.last_seq, r.changes) for r in sink.state(last).collect()}[9] == (5, 4)
+    assert sorted(sink.state(last).collect()) == sorted(changelog.replay(spark.read.parquet(log_dir)).collect())
+    with pytest.raises(ValueError, match="checkpoint"):
+        sink.run(log_dir, schema, str(tmp_path / "other"))
+
+
+def test_deltas_fold(spark, tmp_path):
+    """Many batches leave few folders; a batch that comes again changes nothing."""
+    table = DeltaTable(spark, str(tmp_path), "k long, v long", "k", most=4)
+    assert table.last() == -1 and table.rows(5).count() == 0
+    for n in range(12):
+        table.put(n, spark.createDataFrame([(n % 3, n), (100 + n, n)], "k long, v long"))
+        table.put(n, spark.createDataFrame([(0, -1)], "k long, v long"))
+    assert table.last() == 11 and {r.k: r.v for r in table.rows(11).collect()} == {0: 9, 1: 10, 2: 11} | {100 + n: n for n in range(12)}
+    assert len([p for p in tmp_path.iterdir() if "=" in p.name]) < 12
+
+
+def test_log_of_mutations(spark, tmp_path):
+    """Mutations append effects; the log's replay over the first version is the last version."""
+    first = spark.createDataFrame([(k, 1 + k % 2, f"u{k}", "t", "", 1) for k in range(6)], "id long, category_id long, url string, title string, description string, status int")
+    cats_ = cats(spark, [(1, 0, "Top"), (2, 1, "A")])
+    steps = [M.update_text(first, 1, "link", title="new").table]
+    steps.append(M.move_links(steps[-1], cats_, [1, 2], 2).table)
+    steps.append(M.delete_links(steps[-1], [3]).table)
+    items = spark.createDataFrame([(0, 2, "n", "t", "")], "pos long, category_id long, url string, title string, description string")
+    steps.append(M.create_links(steps[-1].withColumn("submitter_id", F.lit(0).cast("long")), cats_, items).table.select(*first.columns))
+    seqs = [effects.append(str(tmp_path), a, b, "link") for a, b in zip([first, *steps[:-1]], steps, strict=True)]
+    assert seqs == [1, 2, 3, 4] and effects.append(str(tmp_path), steps[-1], steps[-1], "link") == 4
+    log = spark.read.parquet(str(tmp_path / "link"))
+    assert [r.op for r in log.orderBy("seq").collect()] == [3, 4, 2, 1]
+    assert sorted(effects.apply_effects(first, log, "link").collect()) == sorted(steps[-1].collect())
+    moved = M.move_category(M.rename_category(cats_, 2, "aa"), 2, 0)
+    assert sorted(r.op for r in effects.between(cats_, moved, "category").collect()) == [13, 14]
