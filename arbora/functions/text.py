@@ -65,7 +65,63 @@ def is_http_url(url: Column) -> Column:
 
 
 def truncate(c: Column, n: int) -> Column:
-    return F.when(F.char_length(c) > n, F.concat(F.substring(c, 1, n - 1), F.lit("…"))).otherwise(c)
+    """The first n characters without white space at their end and an ellipsis, where there are more."""
+    return F.when(F.char_length(c) > n, F.concat(F.regexp_replace(F.substring(c, 1, n), r"\s+$", ""), F.lit("…"))).otherwise(c)
+
+
+def pad(c: Column, width: int) -> Column:
+    """A number with leading zeros; a longer one is left whole."""
+    text = c.cast("string")
+    return F.when(F.length(text) < width, F.lpad(text, width, "0")).otherwise(text)
+
+
+def long_date(at: Column) -> Column:
+    """``May 10, 2026``; null for the start of the epoch or before, which means no date."""
+    return F.when(F.unix_timestamp(at) > 0, F.date_format(at, "MMM dd, yyyy"))
+
+
+def long_date_or_dash(at: Column) -> Column:
+    return F.coalesce(long_date(at), F.lit("—"))
+
+
+def month_year(at: Column) -> Column:
+    return F.date_format(at, "MMM yyyy")
+
+
+def relative_time(seconds: Column, now: Column) -> Column:
+    """``5m ago`` of epoch seconds, in the largest unit that fits; ``never`` for 0 or less."""
+    gap = now - seconds
+    ago = F.when(gap < 60, F.concat(gap.cast("string"), F.lit("s ago")))
+    for below, unit, letter in ((3600, 60, "m"), (86400, 3600, "h"), (None, 86400, "d")):
+        part = F.concat(F.floor(gap / unit).cast("string"), F.lit(f"{letter} ago"))
+        ago = ago.when(gap < below, part) if below else ago.otherwise(part)
+    return F.when(seconds <= 0, "never").otherwise(ago)
+
+
+def dash_or_value(c: Column) -> Column:
+    return F.when(F.coalesce(F.length(c), F.lit(0)) > 0, c).otherwise("—")
+
+
+def url_hash(url: Column) -> Column:
+    """128 bits in two longs: at 10^10 urls two equal hashes of different urls aren't to be expected."""
+    return F.struct(F.xxhash64(url), F.xxhash64(url, F.lit(1)))
+
+
+def submitter_id(user: Column) -> Column:
+    """A stable 32-bit number other than 0 of a user's id, by two multiplicative folds over its characters."""
+    # Starts and multipliers of the two folds.
+    folds = ((3735928559, 2654435761, 16, 2246822507), (1103547991, 1597334677, 13, 3266489909))
+
+    def times(a: Column, m: int) -> Column:  # modulo 2^32, in two parts that stay within 64 bits
+        return (F.shiftleft((a * (m >> 16)).bitwiseAND(0xFFFF), 16) + a * (m & 0xFFFF)).bitwiseAND(0xFFFFFFFF)
+
+    chars = F.transform(F.filter(F.split(user, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    high, low = (
+        F.aggregate(chars, F.lit(start).cast("long"), lambda a, c, m=m: times(a.bitwiseXOR(c), m), lambda a, shift=shift, last=last: times(a.bitwiseXOR(F.shiftrightunsigned(a, shift)), last))
+        for start, m, shift, last in folds
+    )
+    n = (F.shiftleft(high.bitwiseAND(0xFFFF), 16) + low).bitwiseAND(0xFFFFFFFF)
+    return F.when(n == 0, 1).otherwise(n).cast("long")
 
 
 def path_depth(c: Column) -> Column:

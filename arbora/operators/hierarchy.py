@@ -45,6 +45,22 @@ def closure(categories: DataFrame) -> DataFrame:
     return ancestry(categories).select(F.posexplode("up").alias("depth", "ancestor"), F.col("id").alias("descendant")).select("ancestor", "descendant", "depth")
 
 
+class TreeCache:
+    """Closures by table version. One version is kept: any write makes a new one."""
+
+    def __init__(self) -> None:
+        self.version: object = None
+        self.tree: DataFrame | None = None
+
+    def get(self, version: object, categories: DataFrame) -> DataFrame:
+        if self.tree is None or version != self.version:
+            self.version, self.tree = version, closure(categories)
+        return self.tree
+
+    def clear(self) -> None:
+        self.version = self.tree = None
+
+
 def descendants(edges: DataFrame, root: int) -> DataFrame:
     """Ids of the root and all below it, from (parent_id, child_id) edges; cycles are followed once.
 

@@ -76,8 +76,8 @@ def subtree_links(links: DataFrame, tree: DataFrame, root: int, status: int | No
     return with_status(links.join(ids, "category_id", "left_semi"), status)
 
 
-def subtree_page(links: DataFrame, tree: DataFrame, root: int, offset: int = 0, limit: int = 0, status: int | None = None, after_id: int = 0, order: int = 0) -> DataFrame:
-    """A page in (category, id) order. The cursor is the place of the row with ``after_id``; an unknown one ends the list."""
+def subtree_page(links: DataFrame, tree: DataFrame, root: int, offset: int = 0, limit: int = 0, status: int | None = None, after_id: int = 0, order: int = 0, probe: int = 0) -> DataFrame:
+    """A page in (category, id) order, and ``probe`` rows more. The cursor is the place of the row with ``after_id``; an unknown one ends the list."""
     if order:
         raise S.DirectoryError("unsupported_order")
     if offset > S.MAX_OFFSET:
@@ -88,7 +88,54 @@ def subtree_page(links: DataFrame, tree: DataFrame, root: int, offset: int = 0,
         at = rows.filter(F.col("id") == after_id).select("category_id", "id").first()
         rows = rows.filter(F.struct("category_id", "id") > F.struct(F.lit(at.category_id).cast("long"), F.lit(at.id).cast("long"))) if at else rows.limit(0)
         offset = 0
-    return rows.orderBy("category_id", "id").offset(offset).limit(limit)
+    return rows.orderBy("category_id", "id").offset(offset).limit(limit + probe)
+
+
+@dataclass(frozen=True)
+class SubtreePage:
+    """rows: a page; summary: one row (total, returned, next_after_id) over the whole listing."""
+
+    rows: DataFrame
+    summary: DataFrame
+
+
+def subtree_answer(links: DataFrame, tree: DataFrame, root: int, offset: int = 0, limit: int = 0, status: int | None = None, after_id: int = 0, order: int = 0) -> SubtreePage:
+    """:func:`subtree_page` with the exact number of rows that the status leaves in the subtree, and the cursor of the next
+    page: the page's last id if another row follows, else 0. An unknown root has an empty page and a total of 0."""
+    size = min(limit or S.DEFAULT_PAGE, S.PAGE_CAP)
+    rows = subtree_page(links, tree, root, offset, limit, status, after_id, order)
+    ahead = subtree_page(links, tree, root, offset, size, status, after_id, order, probe=1).select("category_id", "id")
+    places = F.array_sort(F.collect_list(F.struct("category_id", "id")))  # of a page and one row more at most
+    page_ = ahead.agg(places.alias("p")).select(F.least(F.size("p"), F.lit(size)).cast("long").alias("returned"), F.when(F.size("p") > size, F.get("p", F.lit(size - 1))["id"]).otherwise(0).cast("long").alias("next_after_id"))
+    total = subtree_links(links, tree, root, status).agg(F.count("*").alias("total"))
+    both = page_.select(F.lit(0).cast("long").alias("total"), "returned", "next_after_id").union(total.select("total", F.lit(0).cast("long"), F.lit(0).cast("long")))
+    return SubtreePage(rows, both.agg(*(F.max(c).alias(c) for c in ("total", "returned", "next_after_id"))))
+
+
+def parse_extras(tail: bytes) -> tuple[int | None, int]:
+    """(status, after_id) of a request's optional tail: nothing, a status, or a status (0xFF: any) and a cursor."""
+    if len(tail) not in (0, 1, 9) or (tail and tail[0] > S.REJECTED and not (len(tail) == 9 and tail[0] == 0xFF)):
+        raise S.DirectoryError("invalid")
+    return (tail[0] if tail and tail[0] != 0xFF else None), int.from_bytes(tail[1:], "little")
+
+
+def web_page(number: int) -> tuple[int, bool]:
+    """(offset, beyond) of a numbered page of the website: pages that start after ``MAX_OFFSET`` aren't fetched."""
+    offset = (max(number, 1) - 1) * S.DEFAULT_PAGE
+    return offset, offset > S.MAX_OFFSET
+
+
+def faceted(links: DataFrame, category: int | None = None, year: int | None = None) -> DataFrame:
+    """Links of exactly this category and of this year of creation (UTC); rows without a date are of no year."""
+    rows = links if category is None else links.filter(F.col("category_id") == category)
+    return rows if year is None else rows.filter(F.year("created_at") == year)
+
+
+def dashboard(links: DataFrame, submitter: int) -> DataFrame:
+    """A submitter's links, newest ids first: the first ``DEFAULT_PAGE`` of each status in one list."""
+    own = links_by_submitter(links, submitter)
+    pages = [with_status(own, status).orderBy("id").limit(S.DEFAULT_PAGE) for status in (S.PENDING, S.APPROVED, S.REJECTED)]
+    return pages[0].unionByName(pages[1]).unionByName(pages[2]).orderBy(F.desc("id"))
 
 
 def adjacent(links: DataFrame, link: int, category: int, n: int = 3) -> DataFrame:

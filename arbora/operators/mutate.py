@@ -12,6 +12,9 @@ from arbora.functions import text as X
 from arbora.operators import hierarchy as H
 
 
+BEFORE = -(2**63)
+
+
 @dataclass(frozen=True)
 class Result:
     """The changed table and (pos, id, status) of the request's items."""
@@ -53,12 +56,13 @@ def create_links(links: DataFrame, categories: DataFrame, items: DataFrame, stat
     if "submitter_id" not in items.columns:
         items = items.withColumn("submitter_id", F.lit(0).cast("long"))
     known = categories.select(F.col("id").alias("category_id"), F.lit(True).alias("known"))
-    taken = links.select("url").distinct().withColumn("taken", F.lit(True))
-    checked = items.join(known, "category_id", "left").join(taken, "url", "left")
-    first = F.when(_too_long("link"), "field_too_long").when((F.col("category_id") != 0) & F.col("known").isNull(), "category_not_found").when(F.col("taken"), "duplicate_url")
-    checked = checked.withColumn("status", first)
-    rank = F.row_number().over(Window.partitionBy("url", F.col("status").isNull()).orderBy("pos"))
-    checked = checked.withColumn("status", F.coalesce("status", F.when(rank > 1, "duplicate_url").otherwise("ok"))).drop("known", "taken")
+    bad = F.when(_too_long("link"), "field_too_long").when((F.col("category_id") != 0) & F.col("known").isNull(), "category_not_found")
+    checked = items.join(known, "category_id", "left").withColumn("status", bad).drop("known")
+    # where each url stands first, links before all items: a minimum that merges, so a url may be a third of the batch
+    stands = links.select("url", F.lit(BEFORE).alias("pos")).unionByName(checked.filter("status is null").select("url", F.col("pos").cast("long").alias("pos")))
+    first = stands.groupBy(F.col("url").alias("__url")).agg(F.min("pos").alias("__first"))
+    checked = checked.join(first, F.col("url").eqNullSafe(F.col("__url")), "left")
+    checked = checked.withColumn("status", F.coalesce("status", F.when(F.col("__first") < F.col("pos"), "duplicate_url").otherwise("ok"))).drop("__url", "__first")
     done = _numbered(checked, links)
     blank = {c: F.lit(None).cast(links.schema[c].dataType) for c in links.columns if c not in ("id", "category_id", "url", "title", "description", "status", "submitter_id")}
     new = done.filter("status = 'ok'").select("id", "category_id", "url", "title", "description", "submitter_id").withColumn("status", F.lit(status)).withColumns(blank)
@@ -66,9 +70,10 @@ def create_links(links: DataFrame, categories: DataFrame, items: DataFrame, stat
 
 
 def create_categories(categories: DataFrame, items: DataFrame) -> Result:
-    """items: (pos, parent_id, name, slug, description). The parent must exist unless it is 0; slugs may repeat."""
-    known = categories.select(F.col("id").alias("parent_id"), F.lit(True).alias("known"))
-    bad = F.when(_too_long("category"), "field_too_long").when((F.col("parent_id") != 0) & F.col("known").isNull(), "parent_not_found").otherwise("ok")
+    """items: (pos, parent_id, name, slug, description). The parent must exist unless it is 0, and its path must not have
+    more than ``MAX_DEPTH`` categories; slugs may repeat."""
+    known = H.ancestry(categories).select(F.col("id").alias("parent_id"), F.size("up").alias("known"))
+    bad = F.when(_too_long("category"), "field_too_long").when((F.col("parent_id") != 0) & F.col("known").isNull(), "parent_not_found").when(F.col("known") > S.MAX_DEPTH, "path_too_deep").otherwise("ok")
     done = _numbered(items.join(known, "parent_id", "left").withColumn("status", bad).drop("known"), categories)
     blank = {c: F.lit(None).cast(categories.schema[c].dataType) for c in categories.columns if c not in ("id", "parent_id", "name", "slug", "description")}
     new = done.filter("status = 'ok'").select("id", "parent_id", "name", "slug", "description").withColumns(blank)
@@ -128,6 +133,21 @@ def move_category(categories: DataFrame, category: int, parent: int, tree: DataF
     return categories.withColumn("parent_id", F.when(F.col("id") == category, F.lit(parent).cast("long")).otherwise(F.col("parent_id")))
 
 
+def update_category(categories: DataFrame, category: int, name: str | None = None, slug: str | None = None, description: str | None = None) -> Result:
+    """Sets the given fields of one category, a new slug among them: its path and those below are derived, so they follow.
+
+    The one item's status is ok, field_too_long or category_not_found; only ok changes the table.
+    """
+    fields = {k: v for k, v in (("name", name), ("slug", slug), ("description", description)) if v is not None}
+    if any(len(v.encode()) > S.LIMITS["category"][k] for k, v in fields.items()):
+        status = "field_too_long"
+    else:
+        status = "category_not_found" if categories.filter(F.col("id") == category).isEmpty() else "ok"
+    item = categories.sparkSession.range(category, category + 1).select(F.lit(0).alias("pos"), "id", F.lit(status).alias("status"))
+    hit = F.col("id") == category
+    return Result(categories.withColumns({k: F.when(hit, F.lit(v)).otherwise(F.col(k)) for k, v in fields.items()}) if status == "ok" else categories, item)
+
+
 def rename_category(categories: DataFrame, category: int, slug: str) -> DataFrame:
     if len(slug.encode()) > S.LIMITS["category"]["slug"]:
         raise S.DirectoryError("field_too_long")

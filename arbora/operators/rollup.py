@@ -12,7 +12,8 @@ COUNTS = ("link_count", "child_count", "link_count_subtree", "child_count_subtre
 
 
 def direct_counts(categories: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, link_count, child_count)."""
+    """(id, link_count, child_count). Rows that repeat a category count once."""
+    categories = categories.select("id", "parent_id").distinct()
     own = links.groupBy(F.col("category_id").alias("id")).agg(F.count("*").alias("link_count"))
     kids = categories.groupBy(F.col("parent_id").alias("id")).agg(F.count("*").alias("child_count"))
     return categories.select("id").join(own, "id", "left").join(kids, "id", "left").na.fill(0)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora import schema as S
@@ -57,10 +57,40 @@ def search_both(links: DataFrame, categories: DataFrame, query: str, scope: int
     return out | ({"categories": search_categories(categories, query, limit)} if scope != 1 else {})
 
 
+def search_with_status(links: DataFrame, query: str, status: int | None = None, limit: int = S.SEARCH_CAP) -> DataFrame:
+    """The first hits, of which those with the status are shown: the cap comes first, so fewer than ``limit`` may be left."""
+    hits = search_links(links, query, limit)
+    return hits if status is None else hits.filter(F.col("status") == status)
+
+
+def search_with_parents(categories: DataFrame, query: str, limit: int = 20, tree: DataFrame | None = None) -> DataFrame:
+    """(id, name, slug, parent_id, breadcrumb) of found categories; the breadcrumb is their parent's way from the root."""
+    hits = search_categories(categories, query, limit) if len(query.strip()) >= S.QUERY_MIN else categories.limit(0)
+    crumbs = breadcrumb_table(categories, tree).select(F.col("id").alias("parent_id"), F.array_join("crumbs.name", " / ").alias("breadcrumb"))
+    return hits.select("id", "name", "slug", "parent_id").join(crumbs, "parent_id", "left").select("id", "name", "slug", "parent_id", F.coalesce("breadcrumb", F.lit("")).alias("breadcrumb"))
+
+
+def write_postings(index: DataFrame, path: str, buckets: int = 64) -> str:
+    """Stores (token, id) in folders by token hash, sorted by token: a search opens one folder for each of its tokens, and
+    row groups by their bounds. A folder's rows are dealt out over tasks by token and id, so a frequent token has several files."""
+    bucket = F.pmod(F.xxhash64("token"), F.lit(buckets)).cast("int")
+    spread = index.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8)))
+    spread.sortWithinPartitions("bucket", "token", "id").write.partitionBy("bucket").parquet(path)
+    return path
+
+
+def search_stored(spark: SparkSession, path: str, query: str, buckets: int = 64) -> DataFrame:
+    """Ids by stored postings."""
+    wanted = X.query_tokens(query)
+    hashes = spark.range(1).select(*(F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets)).cast("int") for t in wanted)).first() if wanted else []
+    index = spark.read.schema("token string, id long, bucket int").parquet(path)
+    return search_postings(index.filter(F.col("bucket").isin(sorted(set(hashes)))) if wanted else index, query)
+
+
 def category_facet(hits: DataFrame, categories: DataFrame, cap: int = 100) -> DataFrame:
     """Hits for each category with its path label: count falling, label rising; unknown categories are left out."""
     counts = hits.groupBy("category_id").agg(F.count("*").alias("n"))
-    labels = breadcrumb_table(categories).select(F.col("id").alias("category_id"), X.path_label(F.col("crumbs.name")).alias("label"))
+    labels = breadcrumb_table(categories).select(F.col("id").alias("category_id"), X.path_label(F.transform(F.col("crumbs.name"), X.display_name)).alias("label"))
     return counts.join(labels, "category_id").orderBy(F.desc("n"), "label", "category_id").limit(cap)
 
 

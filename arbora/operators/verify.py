@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions import text as X
@@ -23,25 +23,43 @@ def count_drift(categories: DataFrame, links: DataFrame, tree: DataFrame | None
     return categories.select("id", F.col("link_count_subtree").alias("stored")).join(fresh, "id").select("id", "stored", "actual", X.drift_bp(F.col("stored"), F.col("actual")).alias("drift"))
 
 
+def _rows(counts: DataFrame, *named: tuple[str, Column, Column]) -> DataFrame:
+    """(name, observed, expected, ok) from one row of counts."""
+    made = F.array(*(F.struct(F.lit(name).alias("name"), o.cast("long").alias("observed"), e.cast("long").alias("expected")) for name, o, e in named))
+    return counts.select(F.inline(made)).withColumn("ok", F.col("observed") == F.col("expected"))
+
+
 def index_health(categories: DataFrame, links: DataFrame, tree: DataFrame | None = None) -> DataFrame:
-    """Six rows (name, observed, expected, ok)."""
-    def row(name: str, observed: DataFrame, expected: DataFrame) -> DataFrame:
-        both = observed.select(F.lit("o").alias("side"), F.col(observed.columns[0]).cast("long").alias("n")).union(expected.select(F.lit("e"), F.col(expected.columns[0]).cast("long")))
-        o, e = (F.sum(F.when(F.col("side") == s, F.col("n"))) for s in ("o", "e"))
-        return both.agg(F.coalesce(o, F.lit(0)).alias("observed"), F.coalesce(e, F.lit(0)).alias("expected")).select(F.lit(name).alias("name"), "observed", "expected", (F.col("observed") == F.col("expected")).alias("ok"))
-
-    count = lambda d: d.agg(F.count("*").alias("n"))
-    one, none = categories.sparkSession.range(1, 2), categories.sparkSession.range(1)
-    wrong = count_drift(categories, links, tree).filter("drift > 0")
-    rows = [
-        row("cat_by_parent", count(categories.select("parent_id", "id").distinct()), count(categories)),
-        row("link_by_category", count(links.select("category_id", "id").distinct()), count(links)),
-        row("link_by_url_hash", links.agg(F.count_distinct("url").alias("n")), count(links)),
-        row("subtree_counts", count(wrong), none),
-        row("no_orphans", count(orphans(categories)), none),
-        row("single_top", count(categories.filter("parent_id = 0")), one),
+    """Six rows (name, observed, expected, ok): how far the derived tables can cover the two base tables.
+
+    Either base table is read once for all its counts; links are told apart by hashes of their urls.
+    """
+    of_cats = categories.agg(F.count("*").alias("n"), F.count_distinct("parent_id", "id").alias("pairs"), F.count_if(F.col("parent_id") == 0).alias("roots"))
+    of_links = links.agg(F.count("*").alias("n"), F.count_distinct("category_id", "id").alias("pairs"), F.count_distinct(F.when(F.col("url").isNotNull(), X.url_hash(F.col("url")))).alias("urls"))
+    n, pairs = F.col("n"), F.col("pairs")
+    wrong = count_drift(categories, links, tree).agg(F.count_if(F.col("drift") > 0).alias("n"))
+    parts = [
+        _rows(of_cats, ("cat_by_parent", pairs, n), ("single_top", F.col("roots"), F.lit(1))),
+        _rows(of_links, ("link_by_category", pairs, n), ("link_by_url_hash", F.col("urls"), n)),
+        _rows(wrong, ("subtree_counts", n, F.lit(0))),
+        _rows(orphans(categories).agg(F.count("*").alias("n")), ("no_orphans", n, F.lit(0))),
     ]
-    return reduce(DataFrame.unionByName, rows)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def coverage(categories: DataFrame, links: DataFrame, paths: DataFrame, category_postings: DataFrame, link_postings: DataFrame) -> DataFrame:
+    """Three rows (name, observed, expected, ok) of stored indexes: distinct slug paths against categories, and whether
+    the token indexes hold anything at all where their tables do (1 or 0)."""
+    some = lambda t: t.select(F.lit(1).alias("n")).limit(1).agg(F.count("*").alias("n"))
+    side = lambda t, side_: t.select(F.lit(side_).alias("side"), "n")
+
+    def row(name: str, observed: DataFrame, expected: DataFrame) -> DataFrame:
+        both = side(observed, "o").union(side(expected, "e")).agg(*(F.coalesce(F.sum(F.when(F.col("side") == k, F.col("n"))), F.lit(0)).alias(k) for k in "oe"))
+        return _rows(both, (name, F.col("o"), F.col("e")))
+
+    count = lambda t: t.agg(F.count("*").alias("n"))
+    found = paths.agg(F.count_distinct("path").alias("n"))
+    return reduce(DataFrame.unionByName, (row("slug_paths", found, count(categories)), row("category_tokens", some(category_postings), some(categories)), row("link_tokens", some(link_postings), some(links))))
 
 
 def rebuild(categories: DataFrame, links: DataFrame) -> dict[str, DataFrame]:

@@ -8,14 +8,18 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora import schema as S
 from arbora.functions import text as X
+from arbora.operators import browse as B
 from arbora.operators import hierarchy as H
 from arbora.operators import listing as L
 from arbora.operators import mutate as M
+from arbora.operators import repair
 from arbora.operators import rollup as R
 from arbora.operators import search as Q
 from arbora.operators import verify as V
 from arbora.sources import lenses
+from arbora.store import new_path
 from arbora.streaming import changelog, effects
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -219,15 +223,42 @@ def resolve_missing(d: Geo) -> DataFrame:
     return H.resolve(H.slug_paths(d.cats), "asia/nowhere")
 
 
-@geo("""SELECT 'ancestor' AS part, ancestor AS id FROM up WHERE descendant = 11 AND depth > 0 UNION ALL SELECT 'self', 11 UNION ALL SELECT 'child', id FROM cats WHERE parent_id = 11
-UNION ALL SELECT 'total_links', link_count_subtree FROM counts WHERE id = 11""")
+@geo("""SELECT 'ancestor' AS part, row_number() OVER (ORDER BY depth DESC) - 1 AS pos, ancestor AS id, name FROM up JOIN cats ON cats.id = ancestor WHERE descendant = 12 AND depth > 0 UNION ALL SELECT 'self', 0, id, name FROM cats WHERE id = 12
+UNION ALL SELECT 'child', row_number() OVER (ORDER BY id) - 1, id, name FROM cats WHERE parent_id = 12 UNION ALL SELECT 'total_links', 0, link_count_subtree, '' FROM counts WHERE id = 12""")
 def browse_path(d: Geo) -> DataFrame:
-    tree = d.tree
-    key = H.resolve(H.slug_paths(d.cats, tree), d.cats.filter("id = 11").first().slug).first().id
-    total = L.subtree_links(d.links, tree, key).agg(F.count("*").alias("id"))
-    parts = [("ancestor", H.ancestors(tree, key)), ("self", d.spark.range(key, key + 1)), ("child", L.children(d.cats, key)), ("total_links", total)]
-    rows = [df.select(F.lit(name).alias("part"), "id") for name, df in parts]
-    return rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    return B.browse(d.cats, d.links, "asia", d.tree).rows()
+
+@geo(""", hit AS (SELECT id, category_id FROM links WHERE category_id IN (SELECT descendant FROM up WHERE ancestor = 12) AND status = 1),
+  p AS (SELECT *, row_number() OVER (ORDER BY category_id, id) AS rn FROM hit)
+  SELECT (SELECT count(*) FROM hit)::BIGINT AS total, (SELECT count(*) FROM p WHERE rn BETWEEN 8 AND 47)::BIGINT AS returned, coalesce((SELECT max(id) FROM p WHERE rn = 47 AND (SELECT count(*) FROM hit) > 47), 0)::BIGINT AS next_after_id""")
+def subtree_links_answer(d: Geo) -> DataFrame:
+    return L.subtree_answer(d.links, d.tree, 12, offset=7, limit=40, status=1).summary
+
+@geo(""", hit AS (SELECT id, row_number() OVER (ORDER BY category_id, id) AS rn FROM links WHERE category_id IN (SELECT descendant FROM up WHERE ancestor = 1)), c AS (SELECT rn FROM hit WHERE id = 9)
+  SELECT (SELECT count(*) FROM hit)::BIGINT AS total, (SELECT count(*) FROM hit WHERE rn > (SELECT rn FROM c) AND rn <= (SELECT rn FROM c) + 50)::BIGINT AS returned,
+    coalesce((SELECT max(id) FROM hit WHERE rn = (SELECT rn FROM c) + 50 AND (SELECT max(rn) FROM hit) > (SELECT rn FROM c) + 50), 0)::BIGINT AS next_after_id""")
+def subtree_links_answer_cursor(d: Geo) -> DataFrame:
+    return L.subtree_answer(d.links, d.tree, 1, after_id=9).summary
+
+@geo("""SELECT id, status FROM (SELECT id, status, row_number() OVER (PARTITION BY status ORDER BY id) AS rn FROM links WHERE submitter_id = 8) WHERE rn <= 50""")
+def dashboard_all(d: Geo) -> DataFrame:
+    return L.dashboard(d.links, 8).select("id", "status")
+
+@geo("""SELECT id, url FROM links WHERE category_id = 1002 AND year(created_at) = 1996""")
+def category_year_filter(d: Geo) -> DataFrame:
+    return L.faceted(d.links, 1002, 1996).select("id", "url")
+
+@geo("""SELECT id, name, slug, parent_id, breadcrumb FROM (SELECT * FROM cats WHERE name = 'BUILDING' ORDER BY id LIMIT 20) JOIN (SELECT descendant AS parent_id, string_agg(name, ' / ' ORDER BY depth DESC) AS breadcrumb FROM up JOIN (SELECT id AS ancestor, name FROM cats) USING (ancestor) GROUP BY 1) USING (parent_id)""")
+def search_with_parents(d: Geo) -> DataFrame:
+    return Q.search_with_parents(d.cats, "building", tree=d.tree)
+
+@geo("""SELECT id, status FROM (SELECT * FROM links WHERE title LIKE '%URGENT%' ORDER BY id LIMIT 50) WHERE status = 2""")
+def search_with_status(d: Geo) -> DataFrame:
+    return Q.search_with_status(d.links, "urgent", 2).select("id", "status")
+
+@geo("""SELECT id, strftime(created_at, '%b %d, %Y') AS added, strftime(created_at, '%b %Y') AS month, lpad(id::VARCHAR, 7, '0') AS number, CASE WHEN length(title) > 6 THEN rtrim(substr(title, 1, 6)) || '…' ELSE title END AS short FROM links""")
+def formatted_links(d: Geo) -> DataFrame:
+    return d.links.select("id", X.long_date(F.col("created_at")).alias("added"), X.month_year(F.col("created_at")).alias("month"), X.pad(F.col("id"), 7).alias("number"), X.truncate(F.col("title"), 6).alias("short"))
 
 @catalog("""SELECT id, string_agg(token, ' ' ORDER BY token) AS tokens FROM postings GROUP BY id""")
 def tokenize_links(d: Catalog) -> DataFrame:
@@ -258,6 +289,13 @@ def search_postings(d: Catalog) -> DataFrame:
     return Q.search_postings(Q.postings(d.links, Q.LINK_FIELDS), _words(d))
 
 
+@catalog("""SELECT l.id FROM links l WHERE (SELECT count(*) FROM postings p WHERE p.id = l.id AND p.token IN (SELECT token FROM postings WHERE id = 1 AND token NOT IN ('https', 'example', 'p0'))) =
+  (SELECT count(*) FROM postings WHERE id = 1 AND token NOT IN ('https', 'example', 'p0'))""")
+def search_stored(d: Catalog) -> DataFrame:
+    path = Q.write_postings(Q.postings(d.links, Q.LINK_FIELDS), new_path(d.spark, "postings"))
+    return Q.search_stored(d.spark, path, _words(d))
+
+
 @geo("""SELECT title, count(*) AS n FROM links WHERE title LIKE '%URGENT%' GROUP BY title""")
 def search_urgent(d: Geo) -> DataFrame:
     return Q.search(d.links, "urgent", Q.LINK_FIELDS, None).groupBy("title").agg(F.count("*").alias("n"))
@@ -424,6 +462,27 @@ def rename_paths(d: Geo) -> DataFrame:
     return H.renamed_paths(H.slug_paths(d.cats), "top/asia", "top/east")
 
 
+@geo("""SELECT id, CASE WHEN path = 'top/asia' OR path LIKE 'top/asia/%' THEN 'top/east' || substr(path, 9) ELSE path END AS path FROM paths""")
+def repair_queue(d: Geo) -> DataFrame:
+    """Asia is renamed, and a category that is gone is in the queue too; the stored paths are repaired in chunks of seven."""
+    queue = repair.enqueue(d.spark.createDataFrame([], S.REPAIR_TASK), 12, repair.RENAMED, "top/asia", 0)
+    queue = repair.enqueue(queue, 999999, repair.MOVED, "top/gone", 0)
+    renamed = M.update_category(d.cats, 12, slug="east").table
+    return repair.tick(H.slug_paths(d.cats, d.tree), renamed, queue, d.tree, size=7)[0]
+
+
+@geo("""SELECT seq::BIGINT AS seq, op, chunk, n FROM (SELECT 1 AS seq, 20 AS op, (rn // 7)::BIGINT AS chunk, count(*) AS n FROM (SELECT row_number() OVER (ORDER BY descendant) - 1 AS rn FROM up WHERE ancestor = 12) GROUP BY 3 UNION ALL SELECT 1, 21, NULL, 0)""")
+def repair_effects(d: Geo) -> DataFrame:
+    queue = repair.enqueue(d.spark.createDataFrame([], S.REPAIR_TASK), 12, repair.RENAMED, "top/asia", 0)
+    return repair.tick(H.slug_paths(d.cats, d.tree), M.update_category(d.cats, 12, slug="east").table, queue, d.tree, size=7)[2]
+
+
+@geo("""SELECT id, CASE WHEN id = 100 THEN 'Renamed' ELSE name END AS name, CASE WHEN id = 100 OR path LIKE (SELECT path FROM paths WHERE id = 100) || '/%' THEN replace(path, '/' || (SELECT slug FROM cats WHERE id = 100), '/renamed') ELSE path END AS path FROM cats JOIN paths USING (id)""")
+def update_category(d: Geo) -> DataFrame:
+    changed = M.update_category(d.cats, 100, name="Renamed", slug="renamed").table
+    return changed.select("id", "name").join(H.slug_paths(changed, d.tree), "id")
+
+
 @geo("""SELECT descendant AS parent_id, ancestor = 10 AS is_cycle FROM up WHERE ancestor = 10 UNION SELECT id, false FROM cats WHERE id NOT IN (SELECT descendant FROM up WHERE ancestor = 10)""")
 def move_cycle_check(d: Geo) -> DataFrame:
     below = d.tree.filter("ancestor = 10").select(F.col("descendant").alias("id"), F.lit(True).alias("below"))
@@ -453,6 +512,34 @@ def index_health(d: Geo) -> DataFrame:
     return V.index_health(lenses.counted(d.cats, d.links, tree), d.links, tree)
 
 
+def _broken(d: Geo) -> tuple[DataFrame, DataFrame]:
+    """Categories without 12, of which 100 is a second root and 10 stands there twice; links of which a hundredth share a
+    url and a fiftieth have no category; counts as they were before."""
+    cats = lenses.counted(d.cats, d.links, d.tree).filter("id != 12").withColumn("parent_id", F.when(F.col("id") == 100, 0).otherwise(F.col("parent_id")).cast("long"))
+    lost = d.links.withColumns({"url": F.when(F.col("id") % 100 == 0, "https://same").otherwise(F.col("url")), "category_id": F.when(F.col("id") % 50 == 1, None).otherwise(F.col("category_id"))})
+    return cats.union(cats.filter("id = 10")), lost
+
+
+@geo(""", kept AS (SELECT id, CASE WHEN id = 100 THEN 0 ELSE parent_id END AS parent_id FROM cats WHERE id != 12),
+  lost AS (SELECT id, CASE WHEN id % 100 = 0 THEN 'https://same' ELSE url END AS url, CASE WHEN id % 50 = 1 THEN NULL ELSE category_id END AS category_id FROM links),
+  up2 AS (SELECT id AS descendant, id AS ancestor FROM kept UNION ALL SELECT u.descendant, c.parent_id FROM up2 u JOIN kept c ON c.id = u.ancestor WHERE c.parent_id NOT IN (0, 12)),
+  fresh AS (SELECT ancestor AS id, sum(n) AS actual FROM up2 JOIN (SELECT k.id, count(l.id) AS n FROM kept k LEFT JOIN lost l ON l.category_id = k.id GROUP BY k.id) o ON o.id = descendant GROUP BY ancestor),
+  off AS (SELECT count(*) AS n FROM (SELECT id FROM kept UNION ALL SELECT 10) k JOIN fresh USING (id) JOIN counts c USING (id) WHERE CASE WHEN actual = 0 THEN link_count_subtree != 0 ELSE abs(link_count_subtree - actual) * 10000 // actual > 0 END)
+  SELECT *, observed = expected AS ok FROM (SELECT 'cat_by_parent' AS name, count(*)::BIGINT AS observed, (count(*) + 1)::BIGINT AS expected FROM kept UNION ALL SELECT 'single_top', count(*), 1 FROM kept WHERE parent_id = 0
+    UNION ALL SELECT 'link_by_category', count(category_id), count(*) FROM lost UNION ALL SELECT 'link_by_url_hash', count(DISTINCT url), count(*) FROM lost
+    UNION ALL SELECT 'subtree_counts', n, 0 FROM off UNION ALL SELECT 'no_orphans', count(*), 0 FROM kept WHERE parent_id = 12)""")
+def index_health_broken(d: Geo) -> DataFrame:
+    cats, lost = _broken(d)
+    return V.index_health(cats, lost)
+
+
+@geo("""SELECT 'slug_paths' AS name, (count(*) - 5)::BIGINT AS observed, count(*) AS expected, false AS ok FROM cats UNION ALL SELECT 'category_tokens', 0, 1, false UNION ALL SELECT 'link_tokens', 1, 1, true""")
+def index_coverage(d: Geo) -> DataFrame:
+    """Stored paths without the regions', category tokens lost, link tokens there."""
+    paths = H.slug_paths(d.cats, d.tree).filter("id not between 10 and 14")
+    return V.coverage(d.cats, d.links, paths, Q.postings(d.cats, Q.CATEGORY_FIELDS).limit(0), Q.postings(d.links, Q.LINK_FIELDS))
+
+
 @geo("""SELECT id, (link_count_subtree + id % 3)::BIGINT AS stored, link_count_subtree AS actual,
   CASE WHEN link_count_subtree = 0 THEN CASE WHEN id % 3 = 0 THEN 0 ELSE 4294967295 END ELSE (id % 3) * 10000 // link_count_subtree END::BIGINT AS drift FROM counts""")
 def count_drift(d: Geo) -> DataFrame:
@@ -548,6 +635,29 @@ def create_submissions(d: Geo) -> DataFrame:
     return M.create_submissions(d.links, d.cats, items).table.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def _mutated(d: Geo) -> tuple[DataFrame, DataFrame]:
+    """Links before and after some mutations: rejected ones deleted, a category's moved, one renamed and moved."""
+    before = d.links.select("id", "category_id", "url", "title", "status")
+    after = before.filter("status != 2").withColumn("category_id", F.when(F.col("category_id") == 1000, F.lit(1004).cast("long")).otherwise(F.col("category_id")))
+    return before, after.withColumn("title", F.when(F.col("category_id") == 1004, "moved").otherwise(F.col("title")))
+
+
+_MUTATED_SQL = """, before AS (SELECT id, category_id, url, title, status FROM links),
+  after AS (SELECT id, CASE WHEN category_id = 1000 THEN 1004 ELSE category_id END::BIGINT AS category_id, url, CASE WHEN category_id IN (1000, 1004) THEN 'moved' ELSE title END AS title, status FROM before WHERE status != 2)"""
+
+
+@geo(_MUTATED_SQL + """ SELECT op::INT AS op, count(*) AS n, count(*) AS seqs FROM (SELECT 2 AS op FROM before WHERE status = 2 UNION ALL SELECT 4 FROM before JOIN after USING (id) WHERE before.category_id != after.category_id
+  UNION ALL SELECT 3 FROM before JOIN after USING (id) WHERE before.title != after.title) GROUP BY op""")
+def mutation_effects(d: Geo) -> DataFrame:
+    return effects.between(*_mutated(d), "link").groupBy("op").agg(F.count("*").alias("n"), F.count_distinct("seq").alias("seqs"))
+
+
+@geo(_MUTATED_SQL + " SELECT * FROM after")
+def mutation_replay(d: Geo) -> DataFrame:
+    before, after = _mutated(d)
+    return effects.apply_effects(before, effects.between(before, after, "link"), "link")
+
+
 def changelog_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changelog.replay(lenses.change_log(lenses.Tables(spark, sf_dir)))
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from arbora import schema as S
+from arbora import store
 from arbora.operators.mutate import numbered
 from arbora.store import saved
 
@@ -57,8 +61,20 @@ def bootstrap(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(1, 0, "Top", "top"), (2, 1, "Lost and Found", "lost-and-found")], "id long, parent_id long, name string, slug string")
 
 
-def write_snapshot(table: DataFrame, path: str, version: int, key: str = "id") -> str:
-    """A version's folder, its rows in ranges of the key, so that files prune by it."""
-    to = f"{path}/version={version}"
-    table.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(to)
-    return to
+def write_snapshot(table: DataFrame, path: str, version: int, key: str = "id") -> dict[str, int | str]:
+    """Writes a version's folder, its rows in ranges of the key, so that files prune by it.
+
+    Returns path, seq (the version) and duration_ms. While another snapshot of the folder is being written, and for a
+    version that is there, the answer is already_in_progress. A writer that died leaves ``snapshot.lock`` behind.
+    """
+    spark, began = table.sparkSession, time.monotonic()
+    to, lock = f"{path}/version={version}", f"{path}/snapshot.lock"
+    if not store.create(spark, lock):
+        raise S.DirectoryError("already_in_progress")
+    try:
+        if store.exists(spark, to):
+            raise S.DirectoryError("already_in_progress", "the version is there")
+        table.repartitionByRange(key).sortWithinPartitions(key).write.mode("errorifexists").parquet(to)
+    finally:
+        store.drop(spark, lock)
+    return {"path": to, "seq": version, "duration_ms": round((time.monotonic() - began) * 1000)}

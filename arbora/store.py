@@ -65,6 +65,12 @@ def names(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
 
 
+def create(spark: SparkSession, path: str) -> bool:
+    """Make an empty file; False if it was there."""
+    files, at = _at(spark, path)
+    return files.createNewFile(at)
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small file that appears whole: written beside its place, then renamed."""
     files, at = _at(spark, path)
