@@ -13,7 +13,6 @@ window. Nothing is shuffled: a document's hits are complete within its own row.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
@@ -23,17 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.llm.store import saved
 from arbora.llm.words import hash_words, text_chunks
 
-WINDOW, SHARE, BLOCK_BYTES = 13, 20, 16_000_000
+WINDOW, LEAST_WINDOW, SHARE, BLOCK_BYTES = 13, 8, 20, 16_000_000
 
 
 @dataclass
 class Tests:
     """A block of benchmark items: vocabulary, word ids of all items in a row (each followed by a 0) and the suffixes."""
 
-    names: list[str]
+    names: list[str | None]
     vocabulary: np.ndarray
     words: np.ndarray
     suffix: np.ndarray  # where each suffix starts in words
@@ -42,7 +40,7 @@ class Tests:
     window: np.ndarray  # words of the window that starts here; 0 if none does
 
     @staticmethod
-    def of(names: list[str], texts: list[str | None]) -> Tests:
+    def of(names: list[str | None], texts: list[str | None]) -> Tests:
         hashes = [hash_words(d, o) for _, _, d, o in text_chunks(pa.array(texts, pa.string()))]
         parts = [p for h, at in hashes for p in np.split(h, at[1:-1])]
         vocabulary = np.unique(np.concatenate([h for h, _ in hashes])) if hashes else np.zeros(0, np.uint64)
@@ -167,33 +165,52 @@ def _merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return start[new], reach[np.r_[np.flatnonzero(new)[1:] - 1, len(start) - 1]]
 
 
-def _pass(tests: Tests, schema: T.StructType, text_at: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the hits, items and longest match that one block of the benchmark gives."""
-    base = len(schema.fields) - 4
+_RESULTS = (("__leak_words", T.LongType()), ("__leak_hits", _HITS), ("__leak_items", T.ArrayType(T.StringType())), ("__leak_longest", _LONGEST), ("__leak_window", T.LongType()))
 
+
+def _add(found: list[list], first: int, places: np.ndarray, words: np.ndarray, tests: Tests) -> None:
+    """Adds to ``found`` what one block of the benchmark gives for the texts from row ``first`` on."""
+    ids, starts = word_ids(words, places, tests.vocabulary)
+    at, n, item, item_at, common = shard_matches(ids, tests)
+    row = np.searchsorted(starts, at, side="right") - 1
+    order = np.argsort(row, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
+        r = int(row[rows[0]])
+        k = first + r
+        old = found[1][k] or []
+        begin = np.r_[[x["start"] for x in old], at[rows] - starts[r]].astype(np.int64)
+        end = np.r_[[x["start"] + x["words"] for x in old], at[rows] - starts[r] + n[rows]].astype(np.int64)
+        found[1][k] = [{"start": s, "words": e - s} for s, e in zip(*(x.tolist() for x in _merged(begin, end)), strict=True)]
+        found[2][k] = sorted({*(found[2][k] or []), *(tests.names[j] for j in np.unique(item[rows]) if tests.names[j] is not None)})
+        best = rows[np.lexsort((item_at[rows], item[rows], at[rows], -common[rows]))[0]]
+        if not found[3][k] or found[3][k]["words"] < common[best]:
+            found[3][k] = {"item_id": tests.names[item[best]], "item_word": int(item_at[best]), "doc_word": int(at[best] - starts[r]), "words": int(common[best])}
+        found[4][k] = max(found[4][k] or 0, int(n[rows].max()))
+
+
+def _once(block) -> Tests:  # noqa: ANN001
+    """A broadcast block that this process doesn't keep."""
+    tests = block.value
+    block.__dict__.pop("_value", None)
+    return tests
+
+
+def _pass(blocks: list, schema: T.StructType, text_at: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Adds the results' columns: a batch's texts are hashed once and meet one block after the other."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        base = len(schema.fields) - len(_RESULTS)
         for batch in batches:
-            found = [batch.column(base + k).to_pylist() for k in range(4)]
-            for a, b, data, offsets in text_chunks(batch.column(text_at)):
-                words, places = hash_words(data, offsets)
-                ids, starts = word_ids(words, places, tests.vocabulary)
-                found[0][a:b] = np.diff(places).tolist()
-                at, n, item, item_at, common = shard_matches(ids, tests)
-                row = np.searchsorted(starts, at, side="right") - 1
-                order = np.argsort(row, kind="stable")
-                for rows in np.split(order, np.flatnonzero(np.diff(row[order])) + 1) if len(order) else []:
-                    r = int(row[rows[0]])
-                    old = found[1][a + r] or []
-                    begin = np.r_[[x["start"] for x in old], at[rows] - starts[r]].astype(np.int64)
-                    end = np.r_[[x["start"] + x["words"] for x in old], at[rows] - starts[r] + n[rows]].astype(np.int64)
-                    found[1][a + r] = [{"start": s, "words": e - s} for s, e in zip(*(x.tolist() for x in _merged(begin, end)), strict=True)]
-                    found[2][a + r] = sorted({*(found[2][a + r] or []), *(tests.names[k] for k in np.unique(item[rows]))})
-                    best = rows[np.lexsort((item_at[rows], item[rows], at[rows], -common[rows]))[0]]
-                    if not found[3][a + r] or found[3][a + r]["words"] < common[best]:
-                        found[3][a + r] = {"item_id": tests.names[item[best]], "item_word": int(item_at[best]), "doc_word": int(at[best] - starts[r]), "words": int(common[best])}
+            found: list[list] = [[None] * batch.num_rows for _ in _RESULTS]
+            hashed = ((a, b, *hash_words(data, offsets)) for a, b, data, offsets in text_chunks(batch.column(text_at)))
+            hashed = list(hashed) if len(blocks) > 1 else hashed
+            for block in blocks or [None]:
+                tests = Tests.of([], []) if block is None else _once(block) if len(blocks) > 1 else block.value
+                for a, b, words, places in hashed:
+                    found[0][a:b] = np.diff(places).tolist()
+                    _add(found, a, places, words, tests)
             yield pa.RecordBatch.from_arrays([*batch.columns[:base], *(pa.array(x, arrow.field(base + k).type) for k, x in enumerate(found))], schema=arrow)
 
     return run
@@ -207,7 +224,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
         if texts and size + len(row.text) > block_bytes:
             yield Tests.of(names, texts)
             names, texts, size = [], [], 0
-        names.append(row.item if row.item is not None else "null")
+        names.append(row.item)
         texts.append(row.text)
         size += len(row.text)
     if texts:
@@ -215,24 +232,22 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The columns ``keep`` of docs and per row words, hits (merged word spans), items and longest match, each in a column that starts with ``__leak_``.
+    """The columns ``keep`` of docs and per row, in columns that start with ``__leak_``: words, hits (merged word spans),
+    items, longest match, and the words of the longest window found.
 
     Null and empty texts have no words and no hits; equal rows each get the same result; an empty or null-only benchmark
-    hits nothing; several rows of one item id count as one item. A benchmark within ``block_bytes`` travels to the tasks
-    as one block. A larger one is worked through block by block with the table saved between blocks, so neither the
-    driver nor a task holds more than one block.
+    hits nothing; several rows of one item id count as one item; an item without an id has hits but counts as no item.
+    The benchmark is cut into blocks of ``block_bytes`` of text, each a broadcast of its own: the driver holds one block
+    at a time, a task one block and one batch of texts, and the documents are read once however many blocks there are.
     """
-    schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("__leak_text", T.StringType()), T.StructField("__leak_words", T.LongType()), T.StructField("__leak_hits", _HITS), T.StructField("__leak_items", T.ArrayType(T.StringType())), T.StructField("__leak_longest", _LONGEST)])
-    nothing = [F.lit(None).cast(schema[c].dataType).alias(c) for c in ("__leak_words", "__leak_hits", "__leak_items", "__leak_longest")]
-    out = docs.select(*keep, F.col(text_col).cast("string").alias("__leak_text"), *nothing)
-    count = 0
-    for tests in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
-        out = saved(out, "leaks") if count else out
-        out = out.mapInArrow(_pass(tests, schema, len(keep)), schema)
-        count += 1
-    if not count:
-        out = out.mapInArrow(_pass(Tests.of([], []), schema, len(keep)), schema)
-    return out.drop("__leak_text")
+    spark = docs.sparkSession
+    blocks = [spark.sparkContext.broadcast(tests) for tests in benchmark_blocks(benchmark, item_col, item_text, block_bytes)]
+    results = [T.StructField(n, kind) for n, kind in _RESULTS]
+    kept = docs.select(*keep)
+    if text_col in keep and kept.schema[text_col].dataType == T.StringType():
+        return kept.mapInArrow(_pass(blocks, schema := T.StructType([*kept.schema.fields, *results]), keep.index(text_col)), schema)
+    schema = T.StructType([*kept.schema.fields, T.StructField("__leak_text", T.StringType()), *results])
+    return docs.select(*keep, F.col(text_col).cast("string").alias("__leak_text")).mapInArrow(_pass(blocks, schema, len(keep)), schema).drop("__leak_text")
 
 
 def n_hit() -> F.Column:
@@ -244,6 +259,15 @@ def contaminated() -> F.Column:
     return (n_hit() > 0) & (F.lit(SHARE) * n_hit() >= F.col("__leak_words"))
 
 
+def affected() -> F.Column:
+    """A whole window of ``LEAST_WINDOW`` words or more is in the text, however long the text is; or it is contaminated.
+
+    A window has ``WINDOW`` words, but for shorter items, which are one window each: those of fewer than
+    ``LEAST_WINDOW`` words are found in texts that never saw the benchmark, so they count by their share alone.
+    """
+    return (F.coalesce("__leak_window", F.lit(0)) >= LEAST_WINDOW) | contaminated()
+
+
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest match."""
     items = F.array_sort(F.coalesce("__leak_items", F.array().cast("array<string>")))
@@ -259,9 +283,5 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id") -> Dat
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, without the contaminated ones."""
-    return find_leaks(docs, benchmark, docs.columns, text_col).filter(~contaminated()).select(*docs.columns)
-
-
-def sha256_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    """The rows of docs, all columns, without the affected ones: whoever holds a verbatim passage goes, long or short."""
+    return find_leaks(docs, benchmark, docs.columns, text_col).filter(~affected()).select(*docs.columns)
