@@ -334,7 +334,7 @@ def dashboard_counts(d: Geo) -> DataFrame:
 def dashboard_capped(d: Geo) -> DataFrame:
     return R.dashboard_counts(d.links, 100)
 
-@geo("""SELECT category_id, n, label FROM (SELECT category_id, count(*) AS n FROM links GROUP BY 1) JOIN (SELECT descendant AS category_id, string_agg(name, ' › ' ORDER BY depth DESC) AS label FROM up JOIN cats ON cats.id = ancestor WHERE name != 'Top' GROUP BY 1) USING (category_id) ORDER BY n DESC, label, category_id LIMIT 100""")
+@geo("""SELECT category_id, n, label FROM (SELECT category_id, count(*) AS n FROM links GROUP BY 1) JOIN (SELECT descendant AS category_id, string_agg(replace(name, '_', ' '), ' › ' ORDER BY depth DESC) AS label FROM up JOIN cats ON cats.id = ancestor WHERE name != 'Top' GROUP BY 1) USING (category_id) ORDER BY n DESC, label, category_id LIMIT 100""")
 def category_facet(d: Geo) -> DataFrame:
     return Q.category_facet(d.links, d.cats)
 

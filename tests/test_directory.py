@@ -4,10 +4,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora import schema as S
+from arbora import store
 from arbora.functions import text as X
+from arbora.operators import browse as B
 from arbora.operators import hierarchy as H
 from arbora.operators import listing as L
 from arbora.operators import mutate as M
+from arbora.operators import repair
 from arbora.operators import rollup as R
 from arbora.operators import search as Q
 from arbora.operators import verify as V
@@ -16,7 +19,7 @@ from arbora.sources import tsv
 from arbora.streaming import changelog, effects
 from arbora.streaming.deltas import DeltaTable
 
-CHECKED = ["get_link", "get_categories_batch", "list_children_page", "list_links_keyset", "subtree_links_cursor", "subtree_links_all", "ancestors", "breadcrumbs_batch", "slug_paths", "slug_only_index", "resolve_leaf", "browse_path", "postings", "search_and", "search_match_field", "subtree_counts", "category_facet", "tag_chips", "tag_filter", "enrich_links", "dup_urls", "bulk_import_tally", "bulk_status_codes", "bulk_delete_codes", "move_category_counts", "rename_paths", "index_health", "count_drift", "incremental_counts", "changelog_replay", "effects_links", "effects_category_paths", "effects_counts", "bulk_delete_category_codes", "create_submissions"]
+CHECKED = ["get_link", "get_categories_batch", "list_children_page", "list_links_keyset", "subtree_links_cursor", "subtree_links_all", "ancestors", "breadcrumbs_batch", "slug_paths", "slug_only_index", "resolve_leaf", "browse_path", "postings", "search_and", "search_match_field", "subtree_counts", "category_facet", "tag_chips", "tag_filter", "enrich_links", "dup_urls", "bulk_import_tally", "bulk_status_codes", "bulk_delete_codes", "move_category_counts", "rename_paths", "index_health", "count_drift", "incremental_counts", "changelog_replay", "effects_links", "effects_category_paths", "effects_counts", "bulk_delete_category_codes", "create_submissions", "subtree_links_answer", "subtree_links_answer_cursor", "dashboard_all", "category_year_filter", "search_with_parents", "search_with_status", "formatted_links", "search_stored", "index_health_broken", "index_coverage", "repair_queue", "repair_effects", "update_category", "mutation_effects", "mutation_replay"]
 
 
 @pytest.mark.parametrize("name", CHECKED)
@@ -260,3 +263,151 @@ def test_log_of_mutations(spark, tmp_path):
     assert sorted(effects.apply_effects(first, log, "link").collect()) == sorted(steps[-1].collect())
     moved = M.move_category(M.rename_category(cats_, 2, "aa"), 2, 0)
     assert sorted(r.op for r in effects.between(cats_, moved, "category").collect()) == [13, 14]
+
+
+def test_browse(spark, abc):
+    rows = links(spark, [(1, 3, "u1", "", "", 1, 0), (2, 2, "u2", "", "", 1, 0)])
+    page = B.browse(abc, rows, "top/a")
+    assert (page.id, ids(page.ancestors), ids(page.children), page.total.first().total_links) == (2, [1], [3], 2)
+    assert B.browse(abc, rows, "c").rows().filter("part = 'total_links'").first().id == 0
+    for path in ("", "nowhere", "top/a/c"):
+        with pytest.raises(S.DirectoryError) as error:
+            B.browse(abc, rows, path)
+        assert error.value.status == "not_found"
+
+
+def test_subtree_answers(spark):
+    """The fixture of three categories with ten links each, in pages of 15; an unknown root; cursors to the end."""
+    tree = H.closure(cats(spark, [(1, 0, "Top"), (2, 1, "A"), (3, 1, "B")]))
+    rows = links(spark, [(c * 100 + n, c, f"u{c}{n}", "", "", n % 3, 0) for c in (1, 2, 3) for n in range(1, 11)])
+    first, second = (L.subtree_answer(rows, tree, 1, offset=o, limit=15) for o in (0, 15))
+    assert ids(first.rows)[0] == 101 and ids(second.rows)[0] == 206
+    assert tuple(first.summary.first()) == (30, 15, 205) and tuple(second.summary.first()) == (30, 15, 0)
+    assert tuple(L.subtree_answer(rows, tree, 99).summary.first()) == (0, 0, 0)
+    seen, after = [], 0
+    while True:
+        page = L.subtree_answer(rows, tree, 1, limit=4, status=2, after_id=after)
+        seen += ids(page.rows)
+        total, _, after = page.summary.first()
+        if not after:
+            break
+    assert total == len(seen) == 9 and seen == sorted(seen)
+    assert tuple(L.subtree_answer(rows, tree, 1, after_id=12345).summary.first()) == (30, 0, 0)
+
+
+def test_requests():
+    assert [L.parse_extras(x) for x in (b"", b"\x01", b"\xff" + bytes([7]) + bytes(7), b"\x02" + bytes([1, 1]) + bytes(6))] == [(None, 0), (1, 0), (None, 7), (2, 257)]
+    for bad in (b"\x03", b"\xff", b"\x01\x02", bytes([3]) + bytes(8), bytes(10)):
+        with pytest.raises(S.DirectoryError):
+            L.parse_extras(bad)
+    assert [L.web_page(n) for n in (0, 1, 3, 101, 102)] == [(0, False), (0, False), (100, False), (5000, False), (5050, True)]
+
+
+def test_scalars(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    text = lambda v: F.lit(v).cast("string")
+    at = lambda v: F.lit(v).cast("timestamp")
+    cases = [
+        (X.truncate(text("one two three"), 4), "one…"), (X.truncate(text("one"), 3), "one"), (X.pad(F.lit(5), 2), "05"), (X.pad(F.lit(12345678), 7), "12345678"),
+        (X.long_date(at("2026-05-10 01:00:00")), "May 10, 2026"), (X.long_date(at("1970-01-01 00:00:00")), None), (X.long_date_or_dash(at("1970-01-01 00:00:00")), "—"), (X.month_year(at("2026-08-02")), "Aug 2026"),
+        *((X.relative_time(F.lit(1000 - 0), F.lit(1000 + gap)), want) for gap, want in ((2, "2s ago"), (300, "5m ago"), (3 * 3600 + 5, "3h ago"), (12 * 86400, "12d ago"))), (X.relative_time(F.lit(0), F.lit(9)), "never"),
+        (X.dash_or_value(text("")), "—"), (X.dash_or_value(text(None)), "—"), (X.dash_or_value(text("a")), "a"), (X.slugify(text("--Visual & Arts!")), "visual-arts"), (X.display_name(text("Visual_Arts")), "Visual Arts"),
+        (X.is_http_url(text("HTTPS://a")), True), (X.is_http_url(text("ftp://a")), False), (X.path_depth(text("a/b/c")), 2), (X.safe_hostname(text("no url")), "no url"), (X.safe_hostname(text("https://h.x/y")), "h.x"),
+        (X.valid_submission(text("t"), text("d" * 30), text("http://a"), F.lit(1)), True), (X.valid_submission(text("t"), text("d" * 29), text("http://a"), F.lit(1)), False), (X.valid_submission(text("t"), text("d" * 30), text("http://a"), F.lit(0)), False),
+    ]
+    assert [one(c) for c, _ in cases] == [want for _, want in cases]
+    assert X.highlight_tokens("foo_bar, a x2") == ["foo_bar", "x2"] and X.query_tokens("A b2 b2 Zig") == ["b2", "zig"]
+    assert one(X.path_label(F.array(*map(F.lit, ("Top", "A", "B", "C", "D", "E"))))) == "A › … › D › E"
+
+    def fold(user):
+        times = lambda a, b: (a * b) & 0xFFFFFFFF
+        high, low = 3735928559, 1103547991
+        for c in map(ord, user):
+            high, low = times(high ^ c, 2654435761), times(low ^ c, 1597334677)
+        high, low = times(high ^ (high >> 16), 2246822507), times(low ^ (low >> 13), 3266489909)
+        return ((high * 65536 + low) & 0xFFFFFFFF) or 1
+
+    users = ["", "a", "7f1c2d9e-0b1a-4c3d-8e5f-112233445566", "x" * 200]
+    rows = spark.createDataFrame([(u,) for u in users], "u string")
+    assert [r.x for r in rows.select(X.submitter_id(F.col("u")).alias("x")).collect()] == [fold(u) for u in users]
+    assert rows.select(F.count_distinct(X.url_hash(F.col("u")))).first()[0] == 4
+
+
+def test_facet_labels(spark):
+    table = cats(spark, [(1, 0, "Top"), (2, 1, "Visual_Arts")])
+    rows = links(spark, [(1, 2, "u", "", "", 1, 0), (2, 9, "v", "", "", 1, 0)])
+    assert [(r.label, r.n) for r in Q.category_facet(rows, table).collect()] == [("Visual Arts", 1)]
+
+
+def test_search_scopes(spark, abc):
+    rows = links(spark, [(k, 2, f"u{k}", "alpha", "", k % 3, 0) for k in range(120)])
+    assert Q.search_with_status(rows, "alpha", 1).count() == 17 and Q.search_with_status(rows, "alpha").count() == 50
+    both = Q.search_both(rows, abc, "alpha")
+    assert sorted(both) == ["categories", "links"] and sorted(Q.search_both(rows, abc, "alpha", 1)) == ["links"] and sorted(Q.search_both(rows, abc, "alpha", 2)) == ["categories"]
+    with pytest.raises(S.DirectoryError):
+        Q.search_both(rows, abc, "alpha", 3)
+    assert [tuple(r) for r in Q.search_with_parents(cats(spark, [(1, 0, "Top"), (2, 1, "Arts"), (3, 2, "Music")]), "music").collect()] == [(3, "Music", "music", 2, "Top / Arts")]
+    assert Q.search_with_parents(abc, "x").count() == 0
+
+
+def test_update_and_create_categories(spark, abc):
+    got = M.update_category(abc, 2, name="Other", slug="other", description="d")
+    assert got.items.first().status == "ok" and tuple(got.table.filter("id = 2").first()) == (2, 1, "Other", "other", "d")
+    assert [M.update_category(abc, key, slug=slug).items.first().status for key, slug in ((99, "x"), (2, "x" * 129))] == ["category_not_found", "field_too_long"]
+    chain = cats(spark, [(k, k - 1, f"C{k}") for k in range(1, 67)])
+    items = spark.createDataFrame([(0, 64, "x", "x", ""), (1, 65, "x", "x", ""), (2, 0, "x", "x", ""), (3, 99, "x", "x", ""), (4, 1, "x" * 65, "x", "")], "pos long, parent_id long, name string, slug string, description string")
+    assert [r.status for r in M.create_categories(chain, items).items.orderBy("pos").collect()] == ["ok", "path_too_deep", "ok", "parent_not_found", "field_too_long"]
+
+
+def test_repair_is_idempotent(spark, abc):
+    stored = H.slug_paths(abc).select("path", "id")
+    renamed = M.update_category(abc, 2, slug="aa").table
+    queue = repair.enqueue(spark.createDataFrame([], S.REPAIR_TASK), 2, repair.RENAMED, "top/a", 5)
+    after, left, effects_ = repair.tick(stored, renamed, queue, size=1)
+    want = {("top", 1), ("top/aa", 2), ("top/aa/b", 3), ("top/c", 4)}
+    assert {tuple(r) for r in after.collect()} == want and left.count() == 0 and sorted(r.op for r in effects_.collect()) == [20, 20, 21]
+    assert {tuple(r) for r in repair.tick(after, renamed, queue)[0].collect()} == want
+    waiting = repair.enqueue(queue, 4, repair.MOVED, "top/c", 6)
+    assert [r.seq for r in repair.tick(stored, renamed, waiting, most=1)[1].collect()] == [2]
+
+
+def test_snapshots_and_bootstrap(spark, tmp_path):
+    table = tsv.bootstrap(spark)
+    assert [tuple(r) for r in table.collect()] == [(1, 0, "Top", "top"), (2, 1, "Lost and Found", "lost-and-found")]
+    done = tsv.write_snapshot(table, str(tmp_path), 3)
+    assert done["seq"] == 3 and done["duration_ms"] >= 0 and spark.read.parquet(done["path"]).count() == 2
+    for blocked in (lambda: None, (tmp_path / "snapshot.lock").touch):
+        blocked()
+        with pytest.raises(S.DirectoryError) as error:
+            tsv.write_snapshot(table, str(tmp_path), 3 if not (tmp_path / "snapshot.lock").exists() else 4)
+        assert error.value.status == "already_in_progress"
+
+
+def test_places_in_several_files(spark, tmp_path):
+    """Rows are placed by file and line, however Spark packs the files."""
+    for name, n in (("a", 3), ("b", 400), ("c", 2)):
+        (tmp_path / f"{name}.tsv").write_text("".join(f"{name}{k}\tx\n" for k in range(n)))
+    got = [r.k for r in tsv.read_tsv(spark, str(tmp_path), ["k", "v"]).orderBy("pos").collect()]
+    assert got == [f"{name}{k}" for name, n in (("a", 3), ("b", 400), ("c", 2)) for k in range(n)]
+
+
+def test_tree_cache(spark, abc):
+    cache = H.TreeCache()
+    first = cache.get(1, abc)
+    assert cache.get(1, abc) is first and cache.get(2, abc) is not first
+    cache.clear()
+    assert cache.tree is None
+
+
+def test_store_needs_a_shared_folder(spark, monkeypatch):
+    """On a cluster without spark.checkpoint.dir nothing is written to a machine's own disk."""
+    conf = {"spark.master": "spark://host:7077"}
+    fake = type("Session", (), {"conf": type("Conf", (), {"get": staticmethod(lambda k, d=None: conf.get(k, d))})()})()
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        store.shared_dir(fake)
+    conf["spark.checkpoint.dir"] = "hdfs://x/shared/"
+    assert store.shared_dir(fake) == "hdfs://x/shared"
+    with store.scratch(spark) as folder:
+        kept = store.saved(spark.range(3), "rows")
+        assert kept.count() == 3 and store.exists(spark, folder)
+    assert not store.exists(spark, folder)
