@@ -116,10 +116,10 @@ def submitter_id(user: Column) -> Column:
         return (F.shiftleft((a * (m >> 16)).bitwiseAND(0xFFFF), 16) + a * (m & 0xFFFF)).bitwiseAND(0xFFFFFFFF)
 
     chars = F.transform(F.filter(F.split(user, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
-    high, low = (
-        F.aggregate(chars, F.lit(start).cast("long"), lambda a, c, m=m: times(a.bitwiseXOR(c), m), lambda a, shift=shift, last=last: times(a.bitwiseXOR(F.shiftrightunsigned(a, shift)), last))
-        for start, m, shift, last in folds
-    )
+    def fold(start: int, m: int, shift: int, last: int) -> Column:
+        return F.aggregate(chars, F.lit(start).cast("long"), lambda a, c: times(a.bitwiseXOR(c), m), lambda a: times(a.bitwiseXOR(F.shiftrightunsigned(a, shift)), last))
+
+    high, low = (fold(*values) for values in folds)
     n = (F.shiftleft(high.bitwiseAND(0xFFFF), 16) + low).bitwiseAND(0xFFFFFFFF)
     return F.when(n == 0, 1).otherwise(n).cast("long")
 
