@@ -310,6 +310,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
     found = rows.join(chosen, (F.col("doc") == F.col("rep")) & (F.col("raw") == F.col("rep_raw"))).select("node", "label", "copies", "text")
     sets = saved(found.mapInArrow(_shingle_sets, "node long, label long, copies long, n long, shingles binary"), "shingles")
     mass = sets.groupBy("label").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("size"))
+    mass = mass.select(F.bitwise_not(F.bitwise_not("label")).alias("label"), "size")
     grouped = _blocks(sets.join(mass, "label"), F.col("size"), "label").agg(F.collect_list(F.struct("node", "copies", "block", "shingles")).alias("members"))
     checked = saved(grouped.select("i", "j", "members").mapInArrow(_verify, "node long, text_links long, doc_links long, low long"), "checked")
 
@@ -346,10 +347,14 @@ def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _blocks(df: DataFrame, blocks: F.Column, group: str):  # noqa: ANN202
-    """Group rows by ``group`` and pair of its salted blocks (i <= j), so that any two rows of a group meet in one."""
+    """Group rows by ``group`` and pair of its salted blocks (i <= j), so that any two rows of a group meet in one.
+
+    The group is part of a hash in the key: rows that are dealt out by the group already are dealt out again by block.
+    """
     df = df.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("node", F.lit(7)), F.col("blocks")).cast("int"))
     df = df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return df.groupBy(group, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    i, j = F.least("block", "other"), F.greatest("block", "other")
+    return df.groupBy(F.xxhash64(group, i, j).alias("pair"), i.alias("i"), j.alias("j"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
