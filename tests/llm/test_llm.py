@@ -55,11 +55,76 @@ def test_urls(spark):
 
 
 def test_toxicity(spark, docs):
+    """Out-of-fold, and on documents whose labels weren't seen at all."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     chain = toxicity.train(docs, labels)
     y, p = chain.labels["toxic"] > 0, chain.held_out["toxic"] >= chain.threshold
     assert (y == p).mean() > 0.93 and (p & ~y).sum() <= 0.02 * (~y).sum()
-    assert len(chain.weights[2]) == len(chain.keys) + 3
+    assert [len(w) for w in chain.weights] == [len(c) + k + 1 for k, c in enumerate(chain.columns)]
+    low = chain.labels["low_quality"] > 0
+    assert ((chain.held_out["low_quality"] >= 0.5) == low).mean() > 0.93
+    half = toxicity.train(docs, labels.filter("doc_id % 2 = 0"))
+    unseen = toxicity.score(docs, half).join(labels.filter("doc_id % 2 = 1").select("doc_id", F.col("toxic").alias("y")), "doc_id").select("toxic", "y").collect()
+    assert np.mean([r.toxic == (r.y == 1) for r in unseen]) > 0.93 and sum(r.toxic and r.y == 0 for r in unseen) <= 0.02 * len(unseen)
+
+
+def test_toxicity_features():
+    """Each text has as many features as distinct words, prefixes, symbol runs and repetitions, and equal ones are equal."""
+    texts = ["Ab ab, cdefgh!! cdefgh", "", "!!", "cdefgh cdefghi\n||x", "Straße straße"]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
+    found = [set() for _ in texts]
+    for h, t in toxicity.text_features(np.frombuffer(data, np.uint8), offsets):
+        for x, k in zip(h.tolist(), t.tolist(), strict=True):
+            found[k].add(x)
+
+    def features(text):
+        ws = words(text)
+        out = {("w", w) for w in ws} | {("p", w.encode()[:n]) for w in ws for n in (4, 5, 6) if len(w.encode()) > n}
+        return out | {("s", x) for x in re.findall(r"[!-/:-@\[-`{-~]+", text)} | {("t",) for a, b in zip(ws, ws[1:]) if a == b}
+
+    want = [features(t) for t in texts]
+    assert [len(x) for x in found] == [len(x) for x in want]
+    assert all(len(found[i] & found[j]) == len(want[i] & want[j]) for i in range(5) for j in range(5))
+
+
+def test_chain_against_brute_force(spark, docs):
+    """Counts, choice of features, folds and the chain, computed again in Python from the features of the texts."""
+    labels = {r.doc_id: (float(r.quality == 0), float(r.toxic)) for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    chain = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in labels}
+    assert chain.ids.tolist() == sorted(texts)
+    fold = {r.doc: r.f for r in docs.select(F.col("doc_id").alias("doc"), F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(5)).alias("f")).collect()}
+    assert chain.folds.tolist() == [fold[i] for i in chain.ids]
+    sets = []
+    for i in chain.ids:
+        data = np.frombuffer(texts[i].encode(), np.uint8)
+        sets.append(np.unique(np.concatenate([h for h, _ in toxicity.text_features(data, np.array([0, len(data)]))])))
+    y = np.array([labels[i] for i in chain.ids])
+
+    def chosen(k, without):
+        rows = [j for j in range(len(sets)) if chain.folds[j] != without]
+        c, c1 = Counter(x for j in rows for x in sets[j].tolist()), Counter(x for j in rows if y[j, k] for x in sets[j].tolist())
+        n1 = sum(y[rows, k])
+        n0 = len(rows) - n1
+        z = {}
+        for x, n in c.items():
+            share = n / len(rows)
+            score = abs(c1[x] / n1 - (n - c1[x]) / n0) / np.sqrt(max(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+            if n >= 3 and score >= 4:
+                z[x] = score
+        return np.array(sorted(sorted(z, key=lambda x: (-z[x], np.uint64(x).view(np.int64)))[:256]), np.uint64)
+
+    matrix = lambda keys: np.array([np.isin(keys, s) for s in sets], np.float32)
+    before = np.zeros((len(sets), 0))
+    for k, name in enumerate(toxicity.NAMES):
+        assert (chain.keys[chain.columns[k]] == chosen(k, -1)).all()
+        for f in range(5):
+            x = np.hstack([matrix(chosen(k, f)), before])
+            out, own = chain.folds != f, chain.folds == f
+            want = toxicity.predict(x[own], toxicity.fit_linear(x[out], y[out, k]))
+            assert np.abs(chain.held_out[name][own] - want).max() < 1e-3
+        before = np.hstack([before, chain.held_out[name][:, None]])
 
 
 def test_toxicity_edges(spark, odd):
@@ -96,9 +161,36 @@ def test_join_edges(odd):
     assert by[5].n_links == 1 and by[6].class_id == 5 and by[6].n_text_links == 1
     kept = jaccard_join.deduplicate(odd)
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "2", "3", "5", "7", "None"]
+    assert jaccard_join.deduplicate(odd.limit(0)).count() == 0
     assert jaccard_join.similarity_links(odd.limit(0)).count() == 0
 
 
+def test_deduplicate_by_row(spark):
+    """Rows go by id and text: unrelated texts under a repeated id stay, as do texts without words."""
+    x, y, z = (" ".join(f"{c}{k}" for k in range(40)) for c in "xyz")
+    near = x.replace("x39", "other")
+    cases = [
+        ([(3, x), (7, x), (7, z)], [(3, x), (7, z)]),
+        ([(3, x), (3, x), (3, z)], [(3, x), (3, z)]),
+        ([(3, x), (3, x), (7, x.upper())], [(3, x)]),
+        ([(None, x), (1, x), (None, y), (2, y), (None, z)], [(None, x), (None, y), (None, z)]),
+        ([(5, near), (4, x), (4, y), (5, y), (4, None), (4, None), (4, "...")], [(4, x), (4, y), (4, None), (4, None), (4, "...")]),
+    ]
+    key = lambda r: tuple(map(str, r))
+    for rows, want in cases:
+        got = jaccard_join.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted((tuple(r) for r in got.collect()), key=key) == sorted(want, key=key)
+    both = jaccard_join.deduplicate(spark.createDataFrame([(1, x), (1, near), (2, x)], "doc_id long, text string")).collect()
+    assert len(both) == 1 and both[0].doc_id == 1
+
+
+def test_components(spark):
+    """Stars, chains and cycles; the labels are the least nodes."""
+    edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(300, 340)] + [(400, 401), (401, 402), (402, 400), (500, 500)]
+    got = {r.node: r.label for r in jaccard_join.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(200)} | {k: 300 for k in range(300, 341)} | {k: 400 for k in (400, 401, 402)}
+
+
 def test_join_blocks(spark, monkeypatch):
     """A group in many salted blocks has the links that brute force finds."""
     monkeypatch.setattr(jaccard_join, "BLOCK_TEXTS", 7)
@@ -184,14 +276,50 @@ def test_pre_tokens_match_the_library():
 
 
 def test_sharding(spark, docs, odd):
-    for rows, n in ((docs, 1000), (odd, len(ROWS)), (odd.limit(0), 0)):
-        made = sharding.shuffle_into_shards(rows, 24).collect()
-        sizes = Counter(r.shard for r in made)
-        assert len(made) == n and (n < 24 or max(sizes.values()) - min(sizes.values()) <= 1)
-        assert all(sorted(r.slot for r in made if r.shard == s) == list(range(c)) for s, c in sizes.items())
-    assert sharding.shuffle_into_shards(docs).orderBy("doc_id").collect() == sharding.shuffle_into_shards(docs).orderBy("doc_id").collect()
-    matrix = sharding.communication_matrix([5, 0, 9, 7], sharding.bin_sizes(21, 4, 2), 1)
-    assert matrix.sum(axis=1).tolist() == [5, 0, 9, 7] and matrix.sum(axis=0).tolist() == sharding.bin_sizes(21, 4, 2)
+    """Exact shard sizes and gapless slots, digests of every row against Python, and the same answer again."""
+    many = spark.range(0, 30_000, 1, 3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 7).alias("text"))  # most partitions hold ten rows
+    for rows in (docs, odd, odd.limit(0), many, many.limit(5)):
+        want = Counter((r.doc_id, len((r.text or "").encode()) + 8, zlib.crc32((r.text or "").encode()), "rows", None) for r in rows.collect())
+        made = sharding.digests(rows).collect()
+        assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard) for r in made) == want
+        slots: dict[int, list[int]] = {}
+        for r in made:
+            slots.setdefault(r.shard, []).append(r.slot)
+        sizes = [len(slots.get(s, ())) for s in range(24)]
+        assert sum(sizes) == len(made) and max(sizes) - min(sizes) <= 1 and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert "other" in sharding.shuffle_into_shards(docs.withColumns({"other": F.lit(1), "slot": F.lit("x")})).columns
+    key = lambda rows: sorted((r.doc_id, r.shard, r.slot) for r in rows.collect())
+    assert key(sharding.shuffle_into_shards(docs)) == key(sharding.shuffle_into_shards(docs)) != key(sharding.shuffle_into_shards(docs, seed=5))
+
+
+def test_sharding_bounds(spark):
+    """A small bound on the matrix puts partitions together; a task's run of slots doesn't depend on the partitions."""
+    many = spark.range(0, 20_000, 1, 1500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    made = sharding.shuffle_into_shards(many, 8, bin_rows=100, cells=400)
+    bins = made.groupBy("shard", F.floor(F.col("slot") / 100).alias("b")).count().collect()
+    assert len(bins) == 8 * 25 and {r["count"] for r in bins} == {100}
+    rows = made.collect()
+    assert len({r.doc_id for r in rows}) == 20_000
+    for s in range(8):  # neighbours in the input aren't neighbours in a shard, and no half of a shard prefers early rows
+        own = sorted((r.slot, r.doc_id) for r in rows if r.shard == s)
+        assert sum(abs(a[1] - b[1]) < 10 for a, b in zip(own, own[1:])) < 30
+        assert abs(np.mean([d for _, d in own[:1250]]) - 10_000) < 700
+    matrix = sharding.communication_matrix([5, 0, 9, 7], sharding.shard_sizes(21, 4), 1)
+    assert matrix.sum(axis=1).tolist() == [5, 0, 9, 7] and matrix.sum(axis=0).tolist() == sharding.shard_sizes(21, 4)
+
+
+@pytest.mark.parametrize(("good", "bad", "n"), [(300, 700, 200), (40, 9000, 2000), (500, 500, 900)])
+def test_large_draws(monkeypatch, good, bad, n):
+    """The draw for numbers beyond numpy's, with small numbers: its mean, variance and bounds."""
+    monkeypatch.setattr(sharding, "_NUMPY_LIMIT", 0)
+    draw, total = np.random.default_rng(3), good + bad
+    got = np.array([sharding._hypergeometric(draw, good, bad, n) for _ in range(20_000)])
+    variance = n * good / total * bad / total * (total - n) / (total - 1)
+    assert abs(got.mean() - n * good / total) < 4 * np.sqrt(variance / len(got)) and abs(got.var() / variance - 1) < 0.05
+    matrix = sharding.communication_matrix([50, 0, 70], [40, 40, 40], 1)
+    assert matrix.sum(axis=0).tolist() == [40, 40, 40] and matrix.sum(axis=1).tolist() == [50, 0, 70]
+    monkeypatch.undo()
+    assert abs(sharding._hypergeometric(draw, 4 * 10**9, 6 * 10**9, 10**9) - 4 * 10**8) < 10**5
 
 
 def test_fingerprints(spark, docs, odd):
@@ -215,17 +343,36 @@ def test_leaks(spark, odd):
     assert (whole[3].n_words, whole[3].n_hit, whole[3].n_items, whole[3].contaminated) == (8, 5, 1, True) and whole[5].n_hit == 3000 and whole[1].n_words == 0
     parts = decontaminate.find_leaks(odd, bench, ["doc_id"], block_bytes=1)
     assert {r.doc_id: (r.n, r.i) for r in parts.select("doc_id", decontaminate.n_hit().alias("n"), F.size(F.coalesce("__leak_items", F.array())).alias("i")).collect()} == {k: (r.n_hit, r.n_items) for k, r in whole.items()}
+    named = spark.createDataFrame([(None, "two three"), ("null", "four five")], "item_id string, text string")
+    assert {r.doc_id: (r.n_hit, r.n_items) for r in decontaminate.report(odd, named).collect()}[3] == (4, 1)
     left = decontaminate.decontaminate(odd, bench)
     assert left.columns == odd.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "2", "7", "None"]
     assert decontaminate.decontaminate(odd, bench.limit(0)).count() == len(ROWS) and decontaminate.report(odd.limit(0), bench).count() == 0
 
 
+def test_affected_documents(spark):
+    """Whoever holds a whole window goes, however long the text; parts of windows and short items' words don't count."""
+    passage = " ".join(f"p{k}" for k in range(30))
+    long_ = " ".join(f"w{k}" for k in range(5000))
+    bench = spark.createDataFrame([("a", passage), ("b", "just eight words make one short whole item"), ("c", "two words")], "item_id string, text string")
+    rows = [
+        (1, passage, False), (2, f"{long_} {passage}", False), (3, f"{long_} {' '.join(passage.split()[7:20])} {long_}", False), (4, f"{long_}\n{passage.upper().replace(' ', ', ')}", False),
+        (5, f"{long_} {' '.join(passage.split()[7:19])} {long_}", True), (6, long_, True), (7, f"{long_} just eight words make one short whole item", False), (8, f"{long_} two words {long_}", True), (9, None, True), (10, "two words", False),
+    ]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    for block in (decontaminate.BLOCK_BYTES, 1):
+        found = decontaminate.find_leaks(docs, bench, docs.columns, block_bytes=block)
+        assert {r.doc_id for r in found.filter(~decontaminate.affected()).collect()} == {i for i, _, stays in rows if stays}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {i for i, _, stays in rows if stays}
+    assert {r.doc_id for r in decontaminate.decontaminate(docs.withColumnRenamed("text", "__leak_text"), bench, "__leak_text").collect()} == {i for i, _, stays in rows if stays}
+
+
 def test_pipeline(spark, docs):
     import corpus_pipeline
 
     toxic = {r.doc_id for r in queries.op3_toxicity(spark, SF).filter("toxic").collect()}
     first = docs.filter(~F.col("doc_id").isin(list(toxic)))
     heads = {r.class_id for r in jaccard_join.similarity_links(first).collect()}
-    leaks = {r.doc_id for r in queries.op10_decontamination(spark, SF).filter("contaminated").collect()}
+    leaks = {r.doc_id for r in queries.op10_decontamination(spark, SF).filter("n_hit > 0").collect()}  # all items have a window's words
     got = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in got.collect()} == heads - leaks and got.columns == [*docs.columns, "ids"]
