@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from arbora.llm import decontaminate, jaccard_join, sentence_pieces, toxicity
-from arbora.llm.store import new_path, table
+from arbora.llm.store import drop, new_path, scratch, table
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +32,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each one's result is written to the shared folder and read again.
+
+    What a stage wrote on its way goes when its result stands, and that result when the next one does.
+    """
+    docs, old = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if old:
+            drop(spark, old)
+        docs, old = spark.read.parquet(path), path
     return docs
