@@ -3,7 +3,8 @@
 A change says that a document's count was inserted, deleted or revised; it becomes a signed delta of documents and
 tokens. A batch of changes is summed by source, language and tokenizer version (partial sums before the shuffle, so a
 hot source costs no more than others) and written under its batch id. Totals are the sums over the batches: additive, so
-late and repeated changes need no recount. A batch id commits once: what is under a committed id stays.
+late and repeated changes need no recount. A batch id commits once: what is under a committed id stays. Old batches are
+folded into one.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm.store import new_path, saved
+from arbora.llm.store import drop, names, new_path, saved, write_text
 from arbora.llm.token_files import encoder, groups, public_tokenizer
 from arbora.llm.words import hash_words, text_chunks
 
@@ -35,37 +36,57 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class TokenRollup:
-    """Totals by source, language and tokenizer version in a folder, changed by idempotent batch commits."""
+    """Totals by source, language and tokenizer version in a folder, changed by idempotent batch commits.
+
+    ``batch=n`` holds a batch's sums, ``marks/batch-n`` says that it counts. ``fold=k`` holds the sums of all batches that
+    ``marks/fold-k`` names, so totals are the last fold and the batches since.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+    def _marks(self, kind: str) -> set[int]:
+        return {int(name.removeprefix(f"{kind}-")) for name in names(self.spark, f"{self.path}/marks") if name.startswith(f"{kind}-") and name.removeprefix(f"{kind}-").isdigit()}
+
+    def _folded(self) -> tuple[int, set[int]]:
+        """The last fold (-1: none) and the batches in it."""
+        last = max(self._marks("fold"), default=-1)
+        found = self.spark.read.text(f"{self.path}/marks/fold-{last}").collect() if last >= 0 else []
+        return last, {int(r.value) for r in found if r.value}
 
     def commit(self, batch: int, changes: DataFrame) -> bool:
         """Adds a batch of changes; False if its id was committed before, in which case nothing happens.
 
-        The batch's folder counts from its _SUCCESS file on, which Spark writes last: an attempt that broke off is
-        overwritten by the next.
+        A batch counts from its mark on, which is written last: an attempt that broke off is overwritten by the next.
         """
-        to = f"{self.path}/batch={int(batch)}"
-        if self._exists(f"{to}/_SUCCESS"):
+        batch = int(batch)
+        if batch in self._marks("batch"):
             return False
-        deltas(changes).write.mode("overwrite").parquet(to)
+        deltas(changes).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        write_text(self.spark, f"{self.path}/marks/batch-{batch}", "")
         return True
 
-    def batches(self) -> DataFrame:
-        """The committed deltas; without any, an empty table."""
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/batch=*/_SUCCESS"))
-        paths = [str(f.getPath().getParent().toString()) for f in (found or [])]
-        return self.spark.read.schema(_DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTAS)
+    def compact(self) -> None:
+        """Folds all batches into one; their marks stay, so that none counts again. The fold before last is deleted."""
+        last, folded = self._folded()
+        marked = self._marks("batch")
+        if marked - folded:
+            self._sums().write.mode("overwrite").parquet(f"{self.path}/fold={last + 1}")
+            write_text(self.spark, f"{self.path}/marks/fold-{last + 1}", "\n".join(map(str, sorted(marked))))
+            for batch in folded:
+                drop(self.spark, f"{self.path}/batch={batch}")
+            for old in ("fold=", "marks/fold-") * (last > 0):
+                drop(self.spark, f"{self.path}/{old}{last - 1}")
+
+    def _sums(self) -> DataFrame:
+        last, folded = self._folded()
+        paths = [f"{self.path}/batch={n}" for n in sorted(self._marks("batch") - folded)] + [f"{self.path}/fold={last}"] * (last >= 0)
+        rows = self.spark.read.schema(_DELTAS).parquet(*paths) if paths else self.spark.createDataFrame([], _DELTAS)
+        return rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens; keys whose documents have all been deleted are left out."""
-        return self.batches().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs != 0 or n_tokens != 0")
+        return self._sums().filter("n_docs != 0 or n_tokens != 0")
 
 
 def _count(resolve: Callable[[], str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -98,7 +119,8 @@ def maintain(docs: DataFrame) -> DataFrame:
     """A rollup's life over a table of documents, and its totals in the end.
 
     1: all documents are inserted, counted in words and in BPE tokens. 2: the BPE counts are revised to include the end
-    token. 3: documents without a word are deleted from both. 2 comes again, as from a retried job, and changes nothing.
+    token. 3: documents without a word are deleted from both. 2 comes again, as from a retried job, before and after the
+    batches are folded, and changes nothing.
     """
     spark = docs.sparkSession
     counts = saved(count_tokens(docs), "counts")
@@ -109,4 +131,6 @@ def maintain(docs: DataFrame) -> DataFrame:
     rollup.commit(2, revised)
     rollup.commit(3, _changes(empty, "delete", "words", "words").unionByName(_changes(empty, "delete", "byte_bpe_50k", "tokens + 1")))
     rollup.commit(2, revised)
+    rollup.compact()
+    rollup.commit(2, revised)
     return rollup.totals()

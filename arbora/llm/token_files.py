@@ -83,9 +83,13 @@ class Image:
         if start >= end:
             return np.zeros(0, np.uint32)
         first, last = start // self.block, (end - 1) // self.block
-        n = min(self.n_tokens, (last + 1) * self.block) - first * self.block
-        part = unpack(self.data[self.payload + self.block_at[first] : self.payload + self.block_at[last + 1]], n, self.bits)
-        return part[start - first * self.block : end - first * self.block]
+        out = np.empty(end - start, np.uint32)
+        for k in range(first, last + 1):  # block by block: unpacking takes several times a block's ids
+            base = k * self.block
+            a, b = max(start, base), min(end, base + self.block)
+            part = unpack(self.data[self.payload + self.block_at[k] : self.payload + self.block_at[k + 1]], min(self.block, self.n_tokens - base), self.bits)
+            out[a - start : b - start] = part[a - base : b - base]
+        return out
 
     def doc(self, k: int) -> np.ndarray:
         return self.ids(int(self.doc_end[k - 1]) if k else 0, int(self.doc_end[k]))
@@ -336,16 +340,28 @@ def read_token_digests(spark, path: str) -> DataFrame:  # noqa: ANN001
 
 
 def read_range(spark, path: str, start: int, end: int) -> np.ndarray:  # noqa: ANN001
-    """Ids start to end of the whole collection; only the images that hold them are fetched."""
-    sizes = spark.read.parquet(path).select("part", "image", "n_tokens").orderBy("part", "image")
-    at, out = 0, []
-    for row in sizes.toLocalIterator():
-        a, b = max(start, at), min(end, at + row.n_tokens)
-        if a < b:
-            data = spark.read.parquet(path).filter((F.col("part") == row.part) & (F.col("image") == row.image)).select("payload").first().payload
-            out.append(Image(bytes(data)).ids(a - at, b - at))
+    """Ids start to end of the whole collection; only the images that hold them are fetched, one after the other.
+
+    A range beyond the collection gives what there is of it; an empty collection gives nothing.
+    """
+    files = spark.read.schema(f"part int, {_IMAGES}").parquet(path)
+    at, wanted = 0, []
+    for row in files.select("part", "image", "n_tokens").orderBy("part", "image").toLocalIterator():
+        if max(start, at) < min(end, at + row.n_tokens):
+            wanted.append((row.part, row.image, at))
         at += row.n_tokens
-    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+        if at >= end:
+            break
+    if not wanted:
+        return np.zeros(0, np.uint32)
+    place = F.struct("part", "image")
+    low, high = (F.struct(F.lit(p).alias("part"), F.lit(i).cast("long").alias("image")) for p, i, _ in (wanted[0], wanted[-1]))
+    images = files.filter((place >= low) & (place <= high)).orderBy("part", "image").select("payload").toLocalIterator()
+    parts = []
+    for (_, _, begin), row in zip(wanted, images, strict=True):
+        image = Image(bytes(row.payload))
+        parts.append(image.ids(max(start - begin, 0), min(end - begin, image.n_tokens)))
+    return np.concatenate(parts)
 
 
 def token_digests(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json") -> DataFrame:

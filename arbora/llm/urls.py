@@ -98,15 +98,16 @@ def probability(host_: F.Column, path_: F.Column, weights: list[float]) -> F.Col
 
 
 def judge(pages: DataFrame, url_col: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES, labelled: tuple[tuple[str, int], ...] = LABELLED) -> DataFrame:
-    """pages' other columns with host, path, rule, verdict and p_block; columns of those names are replaced.
+    """pages' other columns with host, path, rule, verdict and p_block; columns of those names, and of the names __url and __rule, are
+    replaced.
 
     A null url, and one without ``://``, has an empty host and path, fits no rule and gets the model's verdict. Repeated
     rows are judged alike; an empty table stays empty. The longest rule string wins; the same rule twice counts once.
     """
     weights = fit(pages.sparkSession, labelled)
     url = F.col(url_col).cast("string")
-    made = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block", "__url")], url.alias("__url"))
+    made = pages.select(*[c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "p_block", "__url", "__rule")], url.alias("__url"))
     made = made.select("*", host(F.col("__url")).alias("host"), path(F.col("__url")).alias("path"))
     made = made.select("*", rule(F.col("host"), F.col("path"), rules).alias("__rule"), probability(F.col("host"), F.col("path"), weights).alias("p_block"))
     verdict = F.coalesce(F.col("__rule.verdict"), F.when(F.col("p_block") >= 0.5, "block").otherwise("allow"))
-    return made.select(*[c for c in made.columns if not c.startswith("__")], F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
+    return made.select(*[c for c in made.columns if c not in ("__url", "__rule")], F.col("__rule.rule").alias("rule"), verdict.alias("verdict"))
