@@ -4,9 +4,12 @@ A text's paragraphs are its lines, cut further after ``.``, ``!`` and ``?`` befo
 sketch of the set of their 64-bit digests: three subtables of ``CELLS`` cells, each with a count, the exclusive or of the
 digests that hash to it, and that of their checks. Sketches of two versions subtract cell by cell; a cell whose count is
 1 or -1 and whose check fits holds a digest of one version only, and removing it from its other cells may free more.
-If cells are left, the sketch was too small: it is made again larger, in groups of about ``LOAD`` digests, and a group
-that fails again with more cells, up to the last of ``WIDTHS`` a subtable; what even that can't tell apart is compared
-directly.
+
+If cells are left, the sketch was too small. The variance of its counts tells about how many digests differ, and by that
+number, not by the texts' size, a larger one is made: both sets are dealt out by the digests' bits into parts of about
+``LOAD`` differences, with a sketch of three subtables of ``PART`` cells each. A part's subtables are made one after the
+other: as soon as all cells of one are empty or hold one digest, its differences are known. Else all three are peeled.
+A part that is stuck even so is sketched again with four times as many cells, under other hashes, until it peels.
 
 Likeness is the Jaccard similarity of the two digest sets, from the recovered differences; two texts without paragraphs
 are alike.
@@ -14,11 +17,13 @@ are alike.
 
 from __future__ import annotations
 
+from math import ceil, sqrt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, LOAD = 8, 3
-WIDTHS = (4, 16, 64)
+CELLS, LOAD, PART, RETRIES = 8, 2, 4, 9
+RANGES_PER_TASK, MOST_RANGES = 8, 100_000
 LEAST = -(2**63)
 _NONE = "cast(array() as array<bigint>)"
 
@@ -42,9 +47,11 @@ def subtract(one: str, two: str) -> str:
     return f"zip_with({one}, {two}, (x, y) -> named_struct('n', x.n - y.n, 'k', x.k ^ y.k, 'h', x.h ^ y.h))"
 
 
-def peel(cells: str, width: int, steps: str) -> str:
-    """SQL: struct(c, a, b, go): the cells that are left, and the digests recovered for either side."""
-    places = "array(" + ", ".join(f"{width * t} + cast(shiftrightunsigned(p.k, {6 * t}) & {width - 1} as int)" for t in range(3)) + ")"
+def peel(cells: str, places: str, steps: str) -> str:
+    """SQL: struct(c, a, b, go): the cells that are left, and the digests recovered for either side.
+
+    ``places`` gives the three cells of the digest ``p.k``.
+    """
     taken = f"""if(p is null, named_struct('c', s.c, 'a', s.a, 'b', s.b, 'go', false), named_struct(
         'c', {_let('at', places, "transform(s.c, (x, q) -> if(array_contains(at, q), named_struct('n', x.n - p.n, 'k', x.k ^ p.k, 'h', x.h ^ p.h), x))")},
         'a', if(p.n = 1, concat(s.a, array(p.k)), s.a), 'b', if(p.n = -1, concat(s.b, array(p.k)), s.b), 'go', true))"""
@@ -56,25 +63,81 @@ def _clean(state: str) -> str:
     return f"forall({state}.c, x -> x.n = 0 and x.k = 0)"
 
 
-def difference(one: str, two: str, one_sketch: str, two_sketch: str) -> str:
-    """SQL: struct(a, b), the digests only in the first and only in the second set; all four are columns."""
-    sides = lambda s: f"named_struct('a', {s}.a, 'b', {s}.b)"
-    group = "named_struct('a', array_except(ga, gb), 'b', array_except(gb, ga))"
-    for k, width in reversed([*enumerate(WIDTHS)]):
-        cells = subtract(sketch("ga", width), sketch("gb", width))
-        group = _let(f"r{k}", peel(cells, width, "greatest(1, size(ga) + size(gb))"), f"if({_clean(f'r{k}')}, {sides(f'r{k}')}, {group})")
+def _subtable(one: str, two: str, index: str, width: str) -> str:
+    """SQL: the difference of one subtable of two sets' sketches; ``index`` is the cell of the digest ``d``."""
+    inside = lambda s: f"filter({s}, d -> {index} = c)"
+    xor = lambda start, value: f"aggregate(xa, aggregate(xb, {start}, (x, d) -> x ^ {value}), (x, d) -> x ^ {value})"
+    cell = f"named_struct('n', size(xa) - size(xb), 'k', {xor('0L', 'd')}, 'h', {xor('0L', 'xxhash64(d)')})"
+    single = "named_struct('n', size(xa) - size(xb), 'k', if(size(xa) = 1, xa[0], xb[0]), 'h', xxhash64(if(size(xa) = 1, xa[0], xb[0])))"
+    few = f"if(size(xa) + size(xb) = 0, named_struct('n', 0, 'k', 0L, 'h', 0L), if(size(xa) + size(xb) = 1, {single}, {cell}))"
+    return f"transform(sequence(0, {width} - 1), c -> {_let('xa', inside(one), _let('xb', inside(two), few))})"
+
+
+_OPEN, _DONE = f"named_struct('ok', false, 'a', {_NONE}, 'b', {_NONE}, 'x', g.x, 'y', g.y)", "named_struct('ok', true, 'a', {a}, 'b', {b}, 'x', " + _NONE + ", 'y', " + _NONE + ")"
 
-    def split(bits: str, shift: int, name: str, ones: str, twos: str, to: tuple[str, str], body: str) -> str:
-        """Both sets in 2^bits parts by the digests' bits from ``shift``; the body for each part, in a row."""
+
+def _found(a: str, b: str) -> str:
+    return _DONE.replace("{a}", a).replace("{b}", b)
+
+
+def _parts(one: str, two: str, bits: str) -> str:
+    """SQL: both sets in 2^bits parts (x, y) by the digests' bits, in two steps."""
+    def split(width: str, shift: int, name: str, ones: str, twos: str, to: tuple[str, str], body: str) -> str:
         pick = lambda d: f"filter({d}, d -> shiftrightunsigned(d, {shift}) & ({name} - 1) = {name}i)"
-        return _let(name, f"shiftleft(1L, cast({bits} as int))", f"transform(sequence(0L, {name} - 1), {name}i -> {_let(to[0], pick(ones), _let(to[1], pick(twos), body))})")
+        return _let(name, f"shiftleft(1L, cast({width} as int))", f"transform(sequence(0L, {name} - 1), {name}i -> {_let(to[0], pick(ones), _let(to[1], pick(twos), body))})")
+
+    inner = split(f"{bits} - ({bits} div 2)", 32, "fine", "ha", "hb", ("ga", "gb"), "named_struct('x', ga, 'y', gb)")
+    return f"filter(flatten({split(f'{bits} div 2', 48, 'coarse', one, two, ('ha', 'hb'), inner)}), g -> size(g.x) + size(g.y) > 0)"
+
 
-    inner = split("bits - (bits div 2)", 32, "fine", "ha", "hb", ("ga", "gb"), group)
-    parts = f"flatten({split('bits div 2', 48, 'coarse', 'ones', 'twos', ('ha', 'hb'), inner)})"
-    bits = f"cast(ceil(log2(greatest(1.0D, (size(ones) + size(twos)) / {LOAD}D))) as int)"
-    grouped = _let("ones", one, _let("twos", two, _let("bits", bits, _let("parts", parts, "named_struct('a', flatten(parts.a), 'b', flatten(parts.b))"))))
-    first = peel(subtract(one_sketch, two_sketch), CELLS, str(3 * CELLS))
-    return _let("f", first, f"if({_clean('f')}, {sides('f')}, {grouped})")
+def _by_subtables() -> str:
+    """SQL: a part's differences from the first subtable whose cells are all empty or hold one digest."""
+    alone = "forall(cs, x -> if(x.n = 0, x.k = 0 and x.h = 0, abs(x.n) = 1 and x.h = xxhash64(x.k)))"
+    body = _OPEN
+    for j in (2, 1, 0):
+        index = f"cast(shiftrightunsigned(d, {10 * j}) & {PART - 1} as int)"
+        body = _let("cs", _subtable("g.x", "g.y", index, str(PART)), f"if({alone}, {_found('transform(filter(cs, x -> x.n = 1), x -> x.k)', 'transform(filter(cs, x -> x.n = -1), x -> x.k)')}, {body})")
+    return f"transform(parts, g -> {body})"
+
+
+def _by_peeling() -> str:
+    """SQL: the same for parts that are open, from all three subtables."""
+    index = lambda d, j: f"cast(shiftrightunsigned({d}, {10 * j}) & {PART - 1} as int)"
+    cells = f"concat({', '.join(_subtable('g.x', 'g.y', index('d', j), str(PART)) for j in range(3))})"
+    places = f"array({', '.join(f'{j * PART} + {index("p.k", j)}' for j in range(3))})"
+    return f"transform(filter(tried, g -> not g.ok), g -> {_let('r', peel(cells, places, 'size(g.x) + size(g.y) + 1'), f'if({_clean("r")}, {_found("r.a", "r.b")}, {_OPEN})')})"
+
+
+def _by_retries() -> str:
+    """SQL: the same for parts that are still open; attempt t has 4^(t+1) cells a subtable, by bits of another hash."""
+    index = lambda d, j: f"cast(shiftrightunsigned(xxhash64({d}, t), {20 * j}) & (w - 1) as int)"
+    cells = f"concat({', '.join(_subtable('g.x', 'g.y', index('d', j), 'w') for j in range(3))})"
+    places = f"array({', '.join(f'{j} * w + {index("p.k", j)}' for j in range(3))})"
+    attempt = _let("w", "cast(shiftleft(1, 2 * t + 2) as int)", _let("r", peel(cells, places, "size(g.x) + size(g.y) + 1"), f"if({_clean('r')}, {_found('r.a', 'r.b')}, e)"))
+    tried = f"aggregate(sequence(1, {RETRIES}), {_OPEN}, (e, t) -> if(e.ok, e, {attempt}))"
+    return f"transform(filter(peeled, g -> not g.ok), g -> {tried})"
+
+
+def with_difference(df: DataFrame, one: str, two: str, one_sketch: str, two_sketch: str, out: str) -> DataFrame:
+    """df with ``out``, struct(a, b): the digests only in the first and only in the second of two columns of sets.
+
+    The steps are columns of their own: the first sketch, the parts, and what each attempt finds.
+    """
+    # a cell's count is a sum of signs: its variance is the number of differences in a cell
+    squares = f"aggregate({subtract(one_sketch, two_sketch)}, 0D, (x, y) -> x + y.n * y.n) / 3 - pow(size({one}) - size({two}), 2) / {CELLS}"
+    about = f"least(size({one}) + size({two}), greatest({squares}, abs(size({one}) - size({two})), {CELLS}))"
+    places = f"array({', '.join(f'{CELLS * j} + cast(shiftrightunsigned(p.k, {6 * j}) & {CELLS - 1} as int)' for j in range(3))})"
+    kept = df.columns
+    step = df.select(*kept, F.expr(peel(subtract(one_sketch, two_sketch), places, str(3 * CELLS))).alias("f"))
+    step = step.select(*kept, "f", F.expr(f"if({_clean('f')}, -1, cast(least(30, greatest(0, ceil(log2(({about}) / {LOAD}D)))) as int))").alias("bits"))
+    none = "cast(array() as array<struct<x: array<bigint>, y: array<bigint>>>)"
+    step = step.select(*kept, "f", "bits", F.expr(f"if(bits < 0, {none}, {_parts(one, two, 'bits')})").alias("parts"))
+    step = step.select(*kept, "f", "bits", F.expr(_by_subtables()).alias("tried"))
+    step = step.select(*kept, "f", "bits", "tried", F.expr(_by_peeling()).alias("peeled"))
+    step = step.select(*kept, "f", "bits", "tried", "peeled", F.expr(_by_retries()).alias("retried"))
+    sides = {k: f"concat(if(bits < 0, f.{k}, {_NONE}), flatten(tried.{k}), flatten(peeled.{k}), flatten(retried.{k}))" for k in "ab"}
+    failed = "if(exists(retried, e -> not e.ok), raise_error('two digests are alike in all hashes'), named_struct('a', {a}, 'b', {b}))"
+    return step.select(*kept, F.expr(failed.replace("{a}", sides["a"]).replace("{b}", sides["b"])).alias(out))
 
 
 def likeness(diff: str, one: str, two: str) -> str:
@@ -87,49 +150,69 @@ def printed(cells: str) -> str:
     return f"base64(unhex(array_join(transform({cells}, x -> concat(lpad(hex(x.n), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 16, '0'))), '')))"
 
 
+def _below(bounds: F.Column, n: int, key: F.Column, closed: bool) -> F.Column:
+    """How many of n sorted bounds are less than the key (``closed``: or equal), by a list of every so manieth first."""
+    step = max(1, ceil(sqrt(n)))
+    under = lambda b: b <= key if closed else b < key
+    coarse = F.size(F.filter(F.transform(F.sequence(F.lit(1), F.lit(n), F.lit(step)), lambda i: F.element_at(bounds, i)), under))
+    start = F.greatest(coarse - 1, F.lit(0)) * step
+    return start + F.size(F.filter(F.slice(bounds, start + 1, F.lit(step)), under))
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, digests, and those of the next document by descending id (next, next_digests); after the last, the first.
+    """id, text, digests, cells (their sketch), and those of the next document by descending id (next, next_digests,
+    next_cells); after the last, the first. Equal ids follow each other by descending text hash.
 
-    The ids are dealt out by range, at quantiles. The last row of a range finds its successor in a row that is appended
-    to the range: the first row of the next one, of which there are as many as ranges.
+    The rows are dealt out by ranges of ids, at quantiles; an id that takes up several quantiles is cut further by text
+    hash. The last row of a range finds its successor in a row that is appended to the range: the first row of the next
+    one, of which there are as many as ranges.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST))
     rows = docs.select(key.alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], 10_000).alias("c")).first().c or []
-    bounds = F.lit(",".join(map(str, sorted(set(cuts)))))
-    bounds = F.split(bounds, ",").cast("array<long>") if cuts else F.array().cast("array<long>")
-    rows = rows.select(F.size(F.filter(bounds, lambda b: b < F.col("id"))).alias("range"), "id", "text")
-    heads = rows.groupBy("range").agg(F.max("id").alias("head"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    n = min(MOST_RANGES, RANGES_PER_TASK * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(rows.agg(F.percentile_approx("id", [k / n for k in range(1, n)] or [0.5], max(10_000, 4 * n)).alias("c")).first().c or [])
+    if cuts:
+        bounds = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<long>")
+        low, high = (_below(bounds, len(cuts), F.col("id"), closed) for closed in (False, True))
+        inside = F.floor((F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(LEAST)), 32) * (high - low + 1)) / 2.0**32)
+        rows = rows.withColumn("range", (low + F.when(high > low, F.least(inside, high - low)).otherwise(0)).cast("int"))
+    else:
+        rows = rows.withColumn("range", F.lit(0))
+    rows = rows.select("range", "id", "hash", "text")
+    heads = rows.groupBy("range").agg(F.max(F.struct("id", "hash")).alias("head"))
     down = Window.orderBy(F.desc("range"))
-    after = heads.select("range", F.coalesce(F.lead("head").over(down), F.first("head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("id"))
-    tails = rows.select("id", "text").join(F.broadcast(after), "id").groupBy("range").agg(F.max("text").alias("text"))
-    both = rows.withColumn("tail", F.lit(0)).unionByName(tails.select("range", F.lit(LEAST).alias("id"), "text", F.lit(1).alias("tail")))
+    after = heads.select("range", F.coalesce(F.lead("head").over(down), F.first("head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("next"))
+    after = after.select("range", F.col("next.id").alias("id"), F.col("next.hash").alias("hash"))
+    tails = rows.select("id", "hash", "text").join(F.broadcast(after), ["id", "hash"]).groupBy("range").agg(F.max("text").alias("text"))
+    both = rows.withColumn("tail", F.lit(0)).unionByName(tails.select("range", F.lit(LEAST).alias("id"), F.lit(LEAST).alias("hash"), "text", F.lit(1).alias("tail")))
+    order = Window.partitionBy("range").orderBy("tail", F.desc("id"), F.desc("hash"), F.desc("text"))
     both = both.withColumn("digests", F.expr(paragraphs("text")))
-    order = Window.partitionBy("range").orderBy("tail", F.desc("id"), F.desc("text"))
-    return both.select("id", "text", "digests", "tail", F.lead("text").over(order).alias("next"), F.lead("digests").over(order).alias("next_digests")).filter("tail = 0").drop("tail")
+    both = both.withColumn("cells", F.expr(_let("v", "digests", sketch("v", CELLS))))
+    return both.select("id", "text", "digests", "cells", "tail", *(F.lead(c).over(order).alias(n) for c, n in (("text", "next"), ("digests", "next_digests"), ("cells", "next_cells")))).filter("tail = 0").drop("tail")
 
 
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text and of its edited version, whose last third gives way to the next text's start.
 
     Null texts count as empty; a null id comes last in descending order and comes back as null; rows of equal ids follow
-    each other by descending text; a single row is its own successor; an empty table gives no rows. Other columns are
+    each other by descending text hash; a single row is its own successor; an empty table gives no rows. Other columns are
     ignored. Besides the digests' sets the differences are returned: ``gone`` and ``new`` paragraph digests.
     """
     base = with_next(docs, id_col, text_col).withColumn("n_chars", F.char_length("text"))
     cut = F.floor(F.col("n_chars") / 3).cast("int")
     base = base.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars") - cut), F.substr("next", F.lit(1), cut)))
-    made = base.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "next_digests", F.expr(paragraphs("edited")).alias("edited_digests"))
-    made = made.select("*", *(F.expr(_let("v", c, sketch("v", CELLS))).alias(f"{c}_cells") for c in ("digests", "next_digests", "edited_digests")))
-    made = made.select("*", F.expr(difference("digests", "edited_digests", "digests_cells", "edited_digests_cells")).alias("changed"), F.expr(difference("digests", "next_digests", "digests_cells", "next_digests_cells")).alias("other"))
+    made = base.select("id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "cells", "next_digests", "next_cells", F.expr(paragraphs("edited")).alias("edited_digests"))
+    made = made.withColumn("edited_cells", F.expr(_let("v", "edited_digests", sketch("v", CELLS))))
+    made = with_difference(made, "digests", "edited_digests", "cells", "edited_cells", "changed")
+    made = with_difference(made, "digests", "next_digests", "cells", "next_cells", "other")
     return made.select(
         F.when(F.col("id") != LEAST, F.col("id")).alias("doc_id"),
         F.col("n_chars").cast("long").alias("n_chars"),
         "edited_sha256",
-        F.expr(printed("digests_cells")).alias("fingerprint"),
-        F.expr(printed("edited_digests_cells")).alias("edited_fingerprint"),
+        F.expr(printed("cells")).alias("fingerprint"),
+        F.expr(printed("edited_cells")).alias("edited_fingerprint"),
         F.expr(likeness("changed", "digests", "edited_digests")).alias("near_edited"),
         F.expr(likeness("other", "digests", "next_digests")).alias("near_next"),
         F.col("changed.a").alias("gone"),
