@@ -35,9 +35,9 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    both = sentence_pieces.encode(docs, decoded_col="decoded")
+    both = sentence_pieces.encode(docs, decoded_col="decoded", path_col="best_path")
     decoded = F.sha2("decoded", 256)
-    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
+    return both.select("doc_id", "ids", "best_path", F.size("ids").cast("long").alias("n_pieces"), decoded.alias("decoded_sha256"), (decoded == F.col("text_sha256")).alias("round_trip"))
 
 
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
