@@ -22,7 +22,7 @@ from math import ceil, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS, LOAD, PART, RETRIES = 8, 2, 4, 9
+CELLS, LOAD, PART, RETRIES = 8, 1, 4, 9
 RANGES_PER_TASK, MOST_RANGES = 8, 100_000
 LEAST = -(2**63)
 _NONE = "cast(array() as array<bigint>)"
@@ -40,7 +40,14 @@ def paragraphs(text: str) -> str:
 
 def sketch(digests: str, width: int) -> str:
     """SQL: the 3 * width cells of a set of digests; ``digests`` must be a column or a lambda's variable."""
-    return f"flatten(transform(array(0, 6, 12), j -> transform(sequence(0, {width - 1}), c -> aggregate(filter({digests}, d -> shiftrightunsigned(d, j) & {width - 1} = c), named_struct('n', 0, 'k', 0L, 'h', 0L), (a, d) -> named_struct('n', a.n + 1, 'k', a.k ^ d, 'h', a.h ^ xxhash64(d))))))"
+    cell = "aggregate(filter({d}, d -> d & {mask}L = c), named_struct('n', 0, 'k', 0L, 'h', 0L), (a, d) -> named_struct('n', a.n + 1, 'k', a.k ^ d, 'h', a.h ^ xxhash64(d)))"
+    tables = (f"transform({_cells(width, 6 * j)}, c -> {cell.replace('{d}', digests).replace('{mask}', str((width - 1) << 6 * j))})" for j in range(3))
+    return f"concat({', '.join(tables)})"
+
+
+def _cells(width: int, shift: int) -> str:
+    """SQL: the values that a digest's bits from ``shift`` have in each of ``width`` cells."""
+    return f"array({', '.join(f'{c << shift}L' for c in range(width))})"
 
 
 def subtract(one: str, two: str) -> str:
@@ -63,14 +70,14 @@ def _clean(state: str) -> str:
     return f"forall({state}.c, x -> x.n = 0 and x.k = 0)"
 
 
-def _subtable(one: str, two: str, index: str, width: str) -> str:
-    """SQL: the difference of one subtable of two sets' sketches; ``index`` is the cell of the digest ``d``."""
-    inside = lambda s: f"filter({s}, d -> {index} = c)"
+def _subtable(one: str, two: str, inside_: str, cells: str) -> str:
+    """SQL: the difference of one subtable of two sets' sketches; ``inside_`` says whether the digest d is in the cell c."""
+    inside = lambda s: f"filter({s}, d -> {inside_})"
     xor = lambda start, value: f"aggregate(xa, aggregate(xb, {start}, (x, d) -> x ^ {value}), (x, d) -> x ^ {value})"
     cell = f"named_struct('n', size(xa) - size(xb), 'k', {xor('0L', 'd')}, 'h', {xor('0L', 'xxhash64(d)')})"
     single = "named_struct('n', size(xa) - size(xb), 'k', if(size(xa) = 1, xa[0], xb[0]), 'h', xxhash64(if(size(xa) = 1, xa[0], xb[0])))"
     few = f"if(size(xa) + size(xb) = 0, named_struct('n', 0, 'k', 0L, 'h', 0L), if(size(xa) + size(xb) = 1, {single}, {cell}))"
-    return f"transform(sequence(0, {width} - 1), c -> {_let('xa', inside(one), _let('xb', inside(two), few))})"
+    return f"transform({cells}, c -> {_let('xa', inside(one), _let('xb', inside(two), few))})"
 
 
 _OPEN, _DONE = f"named_struct('ok', false, 'a', {_NONE}, 'b', {_NONE}, 'x', g.x, 'y', g.y)", "named_struct('ok', true, 'a', {a}, 'b', {b}, 'x', " + _NONE + ", 'y', " + _NONE + ")"
@@ -83,27 +90,33 @@ def _found(a: str, b: str) -> str:
 def _parts(one: str, two: str, bits: str) -> str:
     """SQL: both sets in 2^bits parts (x, y) by the digests' bits, in two steps."""
     def split(width: str, shift: int, name: str, ones: str, twos: str, to: tuple[str, str], body: str) -> str:
-        pick = lambda d: f"filter({d}, d -> shiftrightunsigned(d, {shift}) & ({name} - 1) = {name}i)"
-        return _let(name, f"shiftleft(1L, cast({width} as int))", f"transform(sequence(0L, {name} - 1), {name}i -> {_let(to[0], pick(ones), _let(to[1], pick(twos), body))})")
+        pick = lambda d: f"filter({d}, d -> d & {name}m = {name}v)"
+        each = _let(f"{name}v", f"shiftleft({name}i, {shift})", _let(to[0], pick(ones), _let(to[1], pick(twos), body)))
+        return _let(name, f"shiftleft(1L, cast({width} as int)) - 1", _let(f"{name}m", f"shiftleft({name}, {shift})", f"transform(sequence(0L, {name}), {name}i -> {each})"))
 
     inner = split(f"{bits} - ({bits} div 2)", 32, "fine", "ha", "hb", ("ga", "gb"), "named_struct('x', ga, 'y', gb)")
     return f"filter(flatten({split(f'{bits} div 2', 48, 'coarse', one, two, ('ha', 'hb'), inner)}), g -> size(g.x) + size(g.y) > 0)"
 
 
+def _small(j: int) -> str:
+    """SQL: subtable j of a part's sketch."""
+    return _subtable("g.x", "g.y", f"d & {(PART - 1) << 10 * j}L = c", _cells(PART, 10 * j))
+
+
 def _by_subtables() -> str:
     """SQL: a part's differences from the first subtable whose cells are all empty or hold one digest."""
     alone = "forall(cs, x -> if(x.n = 0, x.k = 0 and x.h = 0, abs(x.n) = 1 and x.h = xxhash64(x.k)))"
     body = _OPEN
     for j in (2, 1, 0):
-        index = f"cast(shiftrightunsigned(d, {10 * j}) & {PART - 1} as int)"
-        body = _let("cs", _subtable("g.x", "g.y", index, str(PART)), f"if({alone}, {_found('transform(filter(cs, x -> x.n = 1), x -> x.k)', 'transform(filter(cs, x -> x.n = -1), x -> x.k)')}, {body})")
-    return f"transform(parts, g -> {body})"
+        body = _let("cs", _small(j), f"if({alone}, {_found('transform(filter(cs, x -> x.n = 1), x -> x.k)', 'transform(filter(cs, x -> x.n = -1), x -> x.k)')}, {body})")
+    lone = _found("g.x", "g.y")  # of one digest each cell that holds it is that digest
+    return f"transform(parts, g -> if(size(g.x) + size(g.y) = 1, {lone}, {body}))"
 
 
 def _by_peeling() -> str:
     """SQL: the same for parts that are open, from all three subtables."""
     index = lambda d, j: f"cast(shiftrightunsigned({d}, {10 * j}) & {PART - 1} as int)"
-    cells = f"concat({', '.join(_subtable('g.x', 'g.y', index('d', j), str(PART)) for j in range(3))})"
+    cells = f"concat({', '.join(map(_small, range(3)))})"
     places = f"array({', '.join(f'{j * PART} + {index("p.k", j)}' for j in range(3))})"
     return f"transform(filter(tried, g -> not g.ok), g -> {_let('r', peel(cells, places, 'size(g.x) + size(g.y) + 1'), f'if({_clean("r")}, {_found("r.a", "r.b")}, {_OPEN})')})"
 
@@ -111,7 +124,7 @@ def _by_peeling() -> str:
 def _by_retries() -> str:
     """SQL: the same for parts that are still open; attempt t has 4^(t+1) cells a subtable, by bits of another hash."""
     index = lambda d, j: f"cast(shiftrightunsigned(xxhash64({d}, t), {20 * j}) & (w - 1) as int)"
-    cells = f"concat({', '.join(_subtable('g.x', 'g.y', index('d', j), 'w') for j in range(3))})"
+    cells = f"concat({', '.join(_subtable('g.x', 'g.y', f'{index("d", j)} = c', 'sequence(0, w - 1)') for j in range(3))})"
     places = f"array({', '.join(f'{j} * w + {index("p.k", j)}' for j in range(3))})"
     attempt = _let("w", "cast(shiftleft(1, 2 * t + 2) as int)", _let("r", peel(cells, places, "size(g.x) + size(g.y) + 1"), f"if({_clean('r')}, {_found('r.a', 'r.b')}, e)"))
     tried = f"aggregate(sequence(1, {RETRIES}), {_OPEN}, (e, t) -> if(e.ok, e, {attempt}))"
@@ -128,8 +141,11 @@ def with_difference(df: DataFrame, one: str, two: str, one_sketch: str, two_sket
     about = f"least(size({one}) + size({two}), greatest({squares}, abs(size({one}) - size({two})), {CELLS}))"
     places = f"array({', '.join(f'{CELLS * j} + cast(shiftrightunsigned(p.k, {6 * j}) & {CELLS - 1} as int)' for j in range(3))})"
     kept = df.columns
-    step = df.select(*kept, F.expr(peel(subtract(one_sketch, two_sketch), places, str(3 * CELLS))).alias("f"))
-    step = step.select(*kept, "f", F.expr(f"if({_clean('f')}, -1, cast(least(30, greatest(0, ceil(log2(({about}) / {LOAD}D)))) as int))").alias("bits"))
+    # many times more differences than cells can't peel: then the first sketch gives their number only
+    none = f"named_struct('c', {subtract(one_sketch, two_sketch)}, 'a', {_NONE}, 'b', {_NONE}, 'go', false)"
+    step = df.select(*kept, F.expr(about).alias("about"))
+    step = step.select(*kept, "about", F.expr(f"if(about > {6 * CELLS}, {none}, {peel(subtract(one_sketch, two_sketch), places, str(3 * CELLS))})").alias("f"))
+    step = step.select(*kept, "f", F.expr(f"if({_clean('f')}, -1, cast(least(30, greatest(0, ceil(log2(about / {LOAD}D)))) as int))").alias("bits"))
     none = "cast(array() as array<struct<x: array<bigint>, y: array<bigint>>>)"
     step = step.select(*kept, "f", "bits", F.expr(f"if(bits < 0, {none}, {_parts(one, two, 'bits')})").alias("parts"))
     step = step.select(*kept, "f", "bits", F.expr(_by_subtables()).alias("tried"))
@@ -146,8 +162,8 @@ def likeness(diff: str, one: str, two: str) -> str:
 
 
 def printed(cells: str) -> str:
-    """SQL: a sketch as text."""
-    return f"base64(unhex(array_join(transform({cells}, x -> concat(lpad(hex(x.n), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 16, '0'))), '')))"
+    """SQL: a sketch as text, without the line breaks that some sessions put in."""
+    return f"translate(base64(unhex(array_join(transform({cells}, x -> concat(lpad(hex(x.n), 4, '0'), lpad(hex(x.k), 16, '0'), lpad(hex(x.h), 16, '0'))), ''))), '\\r\\n', '')"
 
 
 def _below(bounds: F.Column, n: int, key: F.Column, closed: bool) -> F.Column:
