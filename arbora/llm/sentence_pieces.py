@@ -353,12 +353,11 @@ class Table:
     lists: list[tuple[np.ndarray, np.ndarray]]
 
     @staticmethod
-    def of(keys: np.ndarray, lists: list[tuple[np.ndarray, np.ndarray]]) -> Table:
+    def of(keys: np.ndarray, lists: Iterable[tuple[np.ndarray, np.ndarray]]) -> Table:
         order, out = np.argsort(keys), []
         for n, values in lists:
-            first = np.cumsum(n, dtype=np.int64) - n
             at = np.concatenate([[0], np.cumsum(n[order], dtype=np.int64)])
-            out.append((at.astype(np.int64 if at[-1] >> 31 else np.int32), _spans(values, first[order], n[order])))
+            out.append((at.astype(np.int64 if at[-1] >> 31 else np.int32), _spans(values, (np.cumsum(n, dtype=np.int64) - n)[order], n[order])))
         return Table(keys[order], out)
 
     def values(self, units: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -369,24 +368,32 @@ class Table:
         return np.concatenate([[0], np.cumsum(n)]), _spans(flat, at[row], n).astype(np.int32)
 
 
-def _spans(values: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """values[first[i] : first[i] + n[i]] for all i in a row."""
-    if not len(n):
-        return values[:0]
-    n = n.astype(np.int64)
-    return values[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+def _spans(values: np.ndarray, first: np.ndarray, n: np.ndarray, part: int = 1 << 18) -> np.ndarray:
+    """values[first[i] : first[i] + n[i]] for all i in a row; the index of one part at a time is in memory."""
+    ends = np.cumsum(n, dtype=np.int64)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, values.dtype)
+    for a in range(0, len(ends), part):
+        own, base = slice(a, a + part), int(ends[a - 1]) if a else 0
+        size = n[own].astype(np.int64)
+        at = np.arange(size.sum()) + np.repeat(first[own] - (ends[own] - size - base), size)
+        out[base : base + len(at)] = values[at]
+    return out
 
 
 def _collected(table: DataFrame, columns: int, kind: type) -> Table:
     """The unit table on the driver, as compact bytes."""
     schema = ", ".join(["n long", *(f"c{k} binary" for k in range(2 * columns + 1))])
     rows = table.mapInArrow(_hashed(columns, kind), schema).toArrow()
-    joined = lambda k, kind_: np.frombuffer(b"".join(x.as_buffer() for x in rows[f"c{k}"]), kind_)
-    lists = []
-    for k in range(columns):
-        sizes = [np.frombuffer(x.as_buffer(), np.uint16 if len(x.as_buffer()) == 2 * n.as_py() else np.uint32) for x, n in zip(rows[f"c{2 * k + 1}"], rows["n"], strict=True)]
-        lists.append((np.concatenate([np.zeros(0, np.uint16), *sizes]), joined(2 * k + 2, kind)))
-    return Table.of(joined(0, np.uint64), lists)
+
+    def taken(name: str, kind_: type | None) -> np.ndarray:  # a column's bytes; the column goes
+        nonlocal rows
+        count = rows["n"].to_pylist()
+        parts = [x.as_buffer() for x in rows[name]]
+        rows = rows.drop_columns([name])
+        sized = [np.frombuffer(x, kind_ or (np.uint16 if x.size == 2 * n else np.uint32)) for x, n in zip(parts, count, strict=True)]
+        return np.concatenate([np.zeros(0, kind_ or np.uint16), *sized])
+
+    return Table.of(taken("c0", np.uint64), ((taken(f"c{2 * k + 1}", None), taken(f"c{2 * k + 2}", kind)) for k in range(columns)))
 
 
 @lru_cache(4)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate, fingerprints, jaccard_join, licenses, queries, sentence_pieces, sharding, token_counts, token_files, toxicity, urls
+from arbora.llm import decontaminate, fingerprints, jaccard_join, licenses, queries, sentence_pieces, sharding, store, token_counts, token_files, toxicity, urls
 
 SF = "/root/testdata/sf0.01"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -54,6 +54,52 @@ def test_urls(spark):
     assert rows.filter((p >= 0.5) != (F.col("y") == 1)).count() <= 2
 
 
+def test_url_model(spark):
+    """Features, model and verdicts against a version in Python, on the training table and on URLs not in it."""
+    import xxhash
+
+    seen = [u for u, _ in urls.LABELLED]
+    fresh = [
+        ("https://casino-slots.example.org/win/3", 1), ("http://cheap-pills-shop.example.net/buy-now/9", 1), ("https://spam-farm.example.org/xx/11", 1), ("http://adult-live.example.org/cams/4", 1), ("https://fast-loans.example.org/apply/77", 1),
+        ("https://ththou.example.org/en/31", 0), ("http://library.example.net/books/7", 0), ("https://blog.therea.example.org/fr/8.html", 0), ("http://weather.example.org/today/12", 0), ("https://museum.example.net/rooms/2", 0),
+    ]
+
+    def split(url):
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
+        return ("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
+
+    def places(url):
+        marked = [f"{p}^{x}$" for p, x in zip("hp", split(url), strict=True)]
+        grams = [part[i : i + n] for part in marked for n in (3, 4) for i in range(len(part) - n + 1)]
+        return [np.int64(np.uint64(xxhash.xxh64(g.encode(), seed=42).intdigest()).view(np.int64)) % 4096 for g in grams]
+
+    def row(url):
+        x, at = np.zeros(4097), places(url)
+        for k in at:
+            x[k] += 20.0 / len(at)
+        x[4096] = 1
+        return x
+
+    x, y = np.array([row(u) for u in seen]), np.array([float(v) for _, v in urls.LABELLED])
+    w = np.zeros(4097)
+    for _ in range(200):
+        miss = 2.0 / len(y) * (y - 1 / (1 + np.exp(-x @ w)))
+        w = np.append(w[:-1] * (1 - 2e-4), w[-1]) + miss @ x
+    got = np.array(urls.fit(spark))
+    assert np.abs(got - w).max() < 1e-9
+    table = [*seen, *(u for u, _ in fresh), None, "no scheme", "HTTP://A.B/C?d#e"]
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(table)], "page_id long, url string, __keep string")
+    judged = urls.judge(pages).orderBy("page_id").collect()
+    for r, u in zip(judged, table, strict=True):
+        p = 1 / (1 + np.exp(-row(u) @ w))
+        assert (r.host, r.path) == split(u) and abs(r.p_block - p) < 1e-9 and r["__keep"] == "x"
+        assert r.verdict == {None: "block" if p >= 0.5 else "allow"}.get(r.rule, r.verdict)
+    unseen = {r.url: r.verdict for r in judged if r.url in dict(fresh)} if "url" in judged[0].asDict() else {table[r.page_id]: r.verdict for r in judged}
+    right = sum((1 / (1 + np.exp(-row(u) @ w)) >= 0.5) == bool(v) for u, v in fresh)
+    assert right >= 9 and len(unseen) >= len(fresh)
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
 def test_toxicity(spark, docs):
     """Out-of-fold, and on documents whose labels weren't seen at all."""
     labels = spark.read.parquet(f"{SF}/labels.parquet")
@@ -151,7 +197,37 @@ def test_token_rollup(spark, odd, docs, tmp_path):
         want[d.source, d.lang] += len(tok.encode(d.text, add_special_tokens=False).ids) + 1
     got = {(r.source, r.lang): r.n_tokens for r in token_counts.maintain(docs).filter("tokenizer = 'byte_bpe_50k'").collect()}
     assert got == dict(want)
-    assert token_counts.maintain(odd).count() > 0
+
+    def brute(rows):  # all columns; documents without a word are gone, and with them keys that had no others
+        out = Counter()
+        for r in rows:
+            n = len(words(r.text))
+            if n:
+                for name, tokens in (("words", n), ("byte_bpe_50k", len(tok.encode(r.text, add_special_tokens=False).ids) + 1)):
+                    out[r.source, r.lang, name, "docs"] += 1
+                    out[r.source, r.lang, name, "tokens"] += tokens
+        keys = {k[:3] for k in out}
+        return {(*k, out[*k, "docs"], out[*k, "tokens"]) for k in keys}
+
+    for rows in (docs, odd, odd.limit(0)):
+        assert {tuple(r) for r in token_counts.maintain(rows).collect()} == brute(rows.collect())
+
+
+def test_rollup_folds(spark, tmp_path):
+    """Folded batches count once, whatever comes again; a batch that broke off before its mark doesn't count."""
+    rollup = token_counts.TokenRollup(spark, str(tmp_path))
+    row = lambda n: spark.createDataFrame([("insert", "a", None, "t", n, None)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    for step in range(3):
+        for n in (5 * step, 5 * step + 1):
+            assert rollup.commit(n, row(10**n))
+        rollup.compact()
+        assert not rollup.commit(0, row(7)) and rollup.totals().first().n_docs == 2 * step + 2
+    assert rollup.totals().first().n_tokens == sum(10**n for n in (0, 1, 5, 6, 10, 11))
+    token_counts.deltas(row(3)).write.parquet(str(tmp_path / "batch=99"))
+    assert rollup.totals().first().n_docs == 6 and rollup.commit(99, row(4)) and rollup.totals().first().n_docs == 7
+    assert token_counts.deltas(row(1).limit(0)).count() == 0
+    odd_ops = spark.createDataFrame([(None, "a", "b", "t", 4, None), ("delete", None, None, None, None, 3), ("revise", "a", "b", "t", None, 2)], "op string, source string, lang string, tokenizer string, n_tokens long, old_tokens long")
+    assert {tuple(r) for r in token_counts.deltas(odd_ops).collect()} == {("a", "b", "t", 0, -2), (None, None, None, -1, 0)}
 
 
 def test_join_edges(odd):
@@ -221,10 +297,43 @@ def test_pieces(spark, odd):
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     texts = [(t,) for t in (None, "", " a  b ", "Ünïcode 日本 😀\n\tx", "<s> 12 ...", "x" * 70, "ab" * 300, "thtionble, thtionble!", LONG)]
     rows = spark.createDataFrame(texts, "text string").withColumn("ids", F.lit(0))
-    for bound in (sentence_pieces.BROADCAST_UNITS, 0):
-        for r in sentence_pieces.encode(rows, broadcast_units=bound, decoded_col="back").collect():
-            assert list(r.ids) == sp.encode(r.text or "") and r.back == (r.text or "")
-    assert sentence_pieces.encode(odd).count() == len(ROWS) and sentence_pieces.encode(odd.limit(0)).count() == 0
+    rows = rows.withColumns({c: F.lit(c) for c in ("row", "parts", "unit", "pos", "n", "path", "best")})
+    for bound in (sentence_pieces.BROADCAST_BYTES, 0):
+        made = sentence_pieces.encode(rows, broadcast_bytes=bound, decoded_col="back", path_col="way")
+        assert made.columns == ["text", "row", "parts", "unit", "pos", "n", "path", "best", "ids", "way", "back"]
+        got = made.collect()
+        for r in got:
+            assert list(r.ids) == sp.encode(r.text or "") and r.back == (r.text or "") and (r.row, r.parts) == ("row", "parts")
+            assert sp.decode(list(r.way)) == (r.text or "") or "<s>" in r.text
+        assert len(got) == len(texts) and sentence_pieces.encode(rows, broadcast_bytes=bound).filter("text is null").first().ids == []
+        assert sentence_pieces.encode(odd, broadcast_bytes=bound).count() == len(ROWS) and sentence_pieces.encode(odd.limit(0), broadcast_bytes=bound).count() == 0
+
+
+def test_pieces_of_documents(spark, docs):
+    """On whole documents: the library's ids, and the path of the best sum of scores by dynamic programming in Python."""
+    import public_tokenizers
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    pieces = sentence_pieces.public_pieces()()
+    score = {p: s for p, s, _ in pieces.rows}
+    name = {i: p for p, _, i in pieces.rows}
+    bytes_ = set(pieces.byte_ids)
+
+    def best(text):  # the text's best sum over all pieces, whatever its units are
+        text = sentence_pieces.SPACE + text.replace(" ", sentence_pieces.SPACE)
+        sums = [0.0]
+        for e in range(1, len(text) + 1):
+            sums.append(min(sums[b] + (-score[text[b:e]] if text[b:e] in score else 2e9) for b in range(max(0, e - pieces.longest), e) if text[b:e] in score or b == e - 1))
+        return sums[-1]
+
+    got = queries.op6_sentence_pieces(spark, SF).join(docs.select("doc_id", "text"), "doc_id").filter("doc_id < 150").collect()
+    assert len(got) > 100 and all(r.round_trip for r in got)
+    for r in got:
+        assert list(r.ids) == sp.encode(r.text) and sp.decode(list(r.best_path)) == r.text
+        if not bytes_ & set(r.best_path):
+            assert sum(-score[name[i]] for i in r.best_path) == best(r.text)
+    assert any(list(r.ids) != list(r.best_path) for r in got)
 
 
 def test_viterbi(spark):
@@ -241,6 +350,12 @@ def test_viterbi(spark):
     assert all(abs(cost(got[u]) - best(u)[0]) < 1e-9 for u in units)
 
 
+def test_decode_edges(spark):
+    rows = spark.createDataFrame([(1, None, "x"), (2, [], "x"), (3, sentence_pieces.public_pieces()().merge("▁one"), "x")], "k long, ids array<int>, decoded string")
+    assert {r.k: r.decoded for r in sentence_pieces.decode(rows).collect()} == {1: None, 2: "", 3: "one"}
+    assert sentence_pieces.decode(rows.limit(0)).count() == 0
+
+
 def test_token_files(odd):
     from public_tokenizers import path
     from tokenizers import Tokenizer
@@ -256,6 +371,19 @@ def test_token_files(odd):
     assert token_files.token_digests(odd.limit(0)).count() == 0
 
 
+def test_token_ranges(spark, docs, tmp_path):
+    """Any range of the whole collection, over images and parts; ranges beyond it; an empty collection."""
+    resolve = token_files.public_tokenizer("byte_bpe_50k.json")
+    tok = token_files.encoder(resolve()).tok
+    path = token_files.write_token_files(docs.filter("doc_id < 60"), resolve, str(tmp_path / "files"), image_tokens=2000)
+    whole = [i for r in docs.filter("doc_id < 60").orderBy("doc_id").collect() for i in [*tok.encode(r.text, add_special_tokens=False).ids, 0]]
+    n = len(whole)
+    for a, b in ((0, n), (0, 1), (n - 1, n + 50), (1999, 2001), (n // 3, n // 2), (5, 5), (n, n + 9)):
+        assert token_files.read_range(spark, path, a, b).tolist() == whole[a:b]
+    none = token_files.write_token_files(docs.limit(0), resolve, str(tmp_path / "none"))
+    assert token_files.read_range(spark, none, 0, 9).tolist() == []
+
+
 @pytest.mark.parametrize("bits", [1, 5, 13, 16, 17, 32])
 def test_bit_packing(bits):
     ids = np.random.default_rng(bits).integers(0, 2**bits, 1003, dtype=np.uint64).astype(np.uint32)
@@ -322,6 +450,30 @@ def test_large_draws(monkeypatch, good, bad, n):
     assert abs(sharding._hypergeometric(draw, 4 * 10**9, 6 * 10**9, 10**9) - 4 * 10**8) < 10**5
 
 
+def sketch_of(units):
+    """The printed sketch of a set of paragraphs, in Python."""
+    import base64
+
+    import xxhash
+
+    cells = [[0, 0, 0] for _ in range(24)]
+    for u in units:
+        d = xxhash.xxh64(u.encode(), seed=42).intdigest()
+        check = xxhash.xxh64(d.to_bytes(8, "little"), seed=42).intdigest()
+        for j in range(3):
+            cell = cells[8 * j + (d >> 6 * j & 7)]
+            cell[0], cell[1], cell[2] = cell[0] + 1, cell[1] ^ d, cell[2] ^ check
+    return base64.b64encode(b"".join(n.to_bytes(2, "big") + k.to_bytes(8, "big") + h.to_bytes(8, "big") for n, k, h in cells)).decode()
+
+
+def test_hot_ids(spark):
+    """Rows of one id follow each other by text hash, over many ranges; every row has one successor and is one."""
+    rows = spark.createDataFrame([(7 if k % 3 else k, f"text {k}.\nline {k}") for k in range(600)], "doc_id long, text string")
+    made = fingerprints.with_next(rows, "doc_id", "text").select("id", "text", "next", F.xxhash64("text").alias("h")).collect()
+    order = sorted(made, key=lambda r: (-r.id, -r.h))
+    assert [r.next for r in order] == [r.text for r in order[1:]] + [order[0].text]
+
+
 def test_fingerprints(spark, docs, odd):
     split = lambda s: {x for x in re.split(r"\n+|(?<=[.!?])[ \t\n\x0b\f\r]+", s) if x}
     like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
@@ -333,6 +485,13 @@ def test_fingerprints(spark, docs, odd):
         r = got[d.doc_id]
         assert (r.n_chars, r.edited_sha256) == (n, hashlib.sha256(edited.encode()).hexdigest())
         assert abs(r.near_edited - like(split(d.text), split(edited))) < 1e-9 and abs(r.near_next - like(split(d.text), split(after))) < 1e-9
+    for part in (docs.filter("doc_id < 80"), odd):  # the columns of fingerprints: equal texts, and sketches made in Python
+        shown = {}
+        for r in fingerprints.versions(part.withColumn("doc_id", F.xxhash64("text", "doc_id"))).join(part.select(F.xxhash64("text", "doc_id").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t")).distinct(), "doc_id").collect():
+            assert shown.setdefault(r.t, r.fingerprint) == r.fingerprint
+        assert len(set(shown.values())) == len({frozenset(split(t)) for t in shown})
+        for t, mark in shown.items():
+            assert mark == sketch_of(split(t))
     assert fingerprints.versions(odd).count() == len(ROWS) and fingerprints.versions(odd.limit(0)).count() == 0
     assert fingerprints.versions(odd.filter("doc_id = 5")).first().near_next == 1.0
 
@@ -374,5 +533,20 @@ def test_pipeline(spark, docs):
     first = docs.filter(~F.col("doc_id").isin(list(toxic)))
     heads = {r.class_id for r in jaccard_join.similarity_links(first).collect()}
     leaks = {r.doc_id for r in queries.op10_decontamination(spark, SF).filter("n_hit > 0").collect()}  # all items have a window's words
+    before = set(store.names(spark, f"{store.shared_dir(spark)}/arbora"))
     got = corpus_pipeline.run(spark, SF)
+    assert len(set(store.names(spark, f"{store.shared_dir(spark)}/arbora")) - before) == 1  # the result
     assert {r.doc_id for r in got.collect()} == heads - leaks and got.columns == [*docs.columns, "ids"]
+
+
+def test_pipeline_edges(spark, odd, tmp_path):
+    """Empty tables, nulls, repeated rows and no labels: every stage has a result, with all columns."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(3, 1, 1), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three four five six seven rest")], "item_id long, text string")
+    for name, parts, kept in (("full", (odd, labels.limit(0), bench.limit(0)), ["1", "2", "3", "5", "7", "None"]), ("leak", (odd, labels.limit(0), bench), ["1", "2", "5", "7", "None"]), ("none", (odd.limit(0), labels, bench), [])):
+        for table, rows in zip(("documents", "labels", "benchmark"), parts, strict=True):
+            rows.drop("ids").write.parquet(str(tmp_path / name / f"{table}.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name))
+        assert sorted(str(r.doc_id) for r in got.collect()) == kept and got.columns == [*odd.drop("ids").columns, "ids"]
